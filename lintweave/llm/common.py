@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.Recor
     texts = batch.column(batch.schema.get_field_index(text))
     start = chars = 0
     n = len(texts)
-    lengths = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     for i in range(n):
         chars += lengths[i]
         if i + 1 - start >= SLICE_ROWS or chars >= SLICE_CHARS or i + 1 == n:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .blocknames import OP5_SQL, op5_blocknames
 from .bpe import op1_bpe
+from .packing import op7_packing
 
-QUERIES = {f.__name__: f for f in (op1_bpe,)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_bpe, op5_blocknames, op7_packing)}
+ORACLE_SQL = {"op5_blocknames": OP5_SQL}
