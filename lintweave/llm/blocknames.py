@@ -69,7 +69,7 @@ def exact_groups(docs: DataFrame, shelf: Shelf, id_col: str = "doc_id", text_col
     named = identities(docs, shelf, id_col, text_col)
     groups = shelf.put(named.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     return named.join(groups, ["n_blocks", "name"]).select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256"
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
 

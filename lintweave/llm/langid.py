@@ -150,18 +150,18 @@ def predict_texts(texts: list[str], names: list[str], logs: np.ndarray) -> tuple
     return [names[i] if s else UNKNOWN for i, s in zip(top, size, strict=True)], [float(x) if s else 0.0 for x, s in zip(score, size, strict=True)]
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score; no shuffle."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with two columns more, named by out, which replace any of these names; no shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
             for part, texts in slices(batch, text_col):
                 names, score = predict_texts(texts, *sent.value)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, *out])
 
-    kept = docs.select(*(c for c in docs.columns if c not in ("lang_pred", "score")))
-    return kept.mapInArrow(run, f"{kept._jdf.schema().toDDL()}, lang_pred string, score double")
+    kept = docs.select(*(c for c in docs.columns if c not in out))
+    return kept.mapInArrow(run, f"{kept._jdf.schema().toDDL()}, `{out[0]}` string, `{out[1]}` double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
