@@ -5,6 +5,7 @@ from __future__ import annotations
 from .blocknames import OP5_SQL, op5_blocknames
 from .bpe import op1_bpe
 from .langid import op2_langid
+from .licenses import op3_licenses
 from .neardup import op6_neardup
 from .ogg import op10_ogg
 from .packing import op7_packing
@@ -12,5 +13,5 @@ from .passages import op9_passages
 from .pii import op4_pii
 from .urls import op8_urls
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_langid, op4_pii, op5_blocknames, op6_neardup, op7_packing, op8_urls, op9_passages, op10_ogg)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_langid, op3_licenses, op4_pii, op5_blocknames, op6_neardup, op7_packing, op8_urls, op9_passages, op10_ogg)}
 ORACLE_SQL = {"op5_blocknames": OP5_SQL}
