@@ -98,12 +98,16 @@ def _best(words: list[str], threshold: float) -> list[tuple[str, float, int, int
 
 def scan_text(text: str, threshold: float = THRESHOLD) -> list[tuple[str, float, int, int]]:
     """(licence, score, start, end) of the best unit for each licence found, by score, then name; places are characters."""
+    rows, by, firsts = _index()
+    words = _WORD.findall(text.lower())
+    follows = zip(words, [*words[1:], ""], strict=True)
+    if not any(w in firsts and ((w, x) in by or (w, "") in by) for w, x in follows):
+        return []
     found: dict[str, tuple[float, int, int]] = {}
     units = [m.span() for unit in _UNITS for m in unit.finditer(text)]
     for s, e in dict.fromkeys([*units, (0, len(text))]):
         at = [(m.start(), m.end()) for m in _WORD.finditer(text, s, e)]
-        words = [text[a:b].lower() for a, b in at]
-        for name, score, a, b in _best(words, threshold):
+        for name, score, a, b in _best([text[a:b].lower() for a, b in at], threshold):
             if score > found.get(name, (0.0,))[0]:
                 found[name] = (score, at[a][0], at[b - 1][1])
     return sorted(((k, *v) for k, v in found.items()), key=lambda x: (-x[1], x[0]))
