@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import identifiers
+from . import consistency, identifiers, links, sections, terms
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (identifiers,):
+for _module in (identifiers, sections, links, consistency, terms):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
