@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import consistency, identifiers, links, sections, terms
+from . import consistency, graph, identifiers, ledger, links, report, sections, similarity, terms
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (identifiers, sections, links, consistency, terms):
+for _module in (identifiers, sections, links, consistency, terms, similarity, ledger, graph, report):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
