@@ -100,7 +100,7 @@ def scan_text(text: str, threshold: float = THRESHOLD) -> list[tuple[str, float,
     """(licence, score, start, end) of the best unit for each licence found, by score, then name; places are characters."""
     rows, by, firsts = _index()
     words = _WORD.findall(text.lower())
-    follows = zip(words, [*words[1:], ""], strict=True)
+    follows = zip(words, [*words[1:], ""], strict=False)
     if not any(w in firsts and ((w, x) in by or (w, "") in by) for w, x in follows):
         return []
     found: dict[str, tuple[float, int, int]] = {}

@@ -76,14 +76,17 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """[(lengths of a sequence, number of such sequences)] that uses up the counts of each length."""
+    """[(lengths of a sequence, number of such sequences)] that uses up the counts of each length.
+
+    Longest first: a length takes the singles, pairs and triples that fill its gap exactly, looked up by their sum, as
+    often as counts allow; what is left of it takes the combination with the largest sum that fits, again and again.
+    """
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         left[length] = n
     out: list[tuple[list[int], int]] = []
-    loose: list[tuple[int, int]] = []
 
-    def use(combo: list[int]) -> int:
+    def use(combo: list[int]) -> None:
         need = defaultdict(int)
         for x in combo:
             need[x] += 1
@@ -92,13 +95,49 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[in
             out.append((combo, times))
             for x, k in need.items():
                 left[x] -= k * times
-        return times
 
-    def pair_sums(total: int, top: int) -> np.ndarray:
-        """a >= b with a + b = total and a <= top, both there: the larger parts, largest first."""
+    def exact_pairs(total: int, top: int) -> np.ndarray:
+        """The larger parts a <= top of pairs that are there with this sum, largest first."""
         a = np.arange(min(total - 1, top), (total + 1) // 2 - 1, -1)
         return a[(left[a] > 0) & (left[total - a] > 0)] if len(a) else a
 
+    def nearest(gap: int) -> list[int]:
+        """The single, pair or triple with the largest sum up to gap, of what is there; the fewest parts if sums tie."""
+        there = np.flatnonzero(left[: gap + 1])
+        if not len(there):
+            return []
+        best = [int(there[-1])]
+
+        def pair(room: int, held: int) -> list[int]:
+            """As nearest, of two parts, one of held being taken."""
+            own = left.copy() if held else left
+            if held:
+                own[held] -= 1
+            x = there[own[there] > 0]
+            x = x[x < room]
+            if not len(x):
+                return []
+            k = np.searchsorted(x, room - x, side="right") - 1
+            y = np.where(k >= 0, x[np.maximum(k, 0)], 0)
+            twin = (y == x) & (own[x] < 2)
+            y = np.where(twin, np.where(k > 0, x[np.maximum(k - 1, 0)], 0), y)
+            i = int(np.where(y > 0, x + y, 0).argmax())
+            return [int(x[i]), int(y[i])] if y[i] > 0 else []
+
+        found = pair(gap, 0)
+        if sum(found) > sum(best):
+            best = found
+        if sum(best) < gap:
+            for c in there[::-1]:
+                if 3 * c <= sum(best):
+                    break
+                found = pair(gap - int(c), int(c))
+                if found and int(c) + sum(found) > sum(best):
+                    best = [int(c), *found]
+                    if sum(best) == gap:
+                        break
+        return best
+
     for length in range(capacity, 0, -1):
         gap = capacity - length
         if not left[length]:
@@ -106,9 +145,9 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[in
         if not gap:
             use([length])
             continue
-        if gap <= length:
+        if gap <= length and left[gap]:
             use([length, gap])
-        for a in pair_sums(gap, length):
+        for a in exact_pairs(gap, length):
             if not left[length]:
                 break
             use([length, int(a), int(gap - a)])
@@ -116,43 +155,21 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[in
             if not left[length]:
                 break
             if left[a]:
-                for b in pair_sums(gap - a, a):
+                for b in exact_pairs(gap - a, a):
                     use([length, a, int(b), int(gap - a - b)])
                     if not left[length] or not left[a]:
                         break
-        if left[length]:
-            loose.append((length, int(left[length])))
-            left[length] = 0
-    # best fit of the rest, longest first: bins of the same gap are filled as a group
-    bins: dict[int, list[tuple[list[int], int]]] = defaultdict(list)
-    for length, n in loose:
-        fresh: list[tuple[int, list[int], int]] = []
-        for gap in sorted(g for g in bins if g >= length):
-            while n and bins[gap]:
-                held, times = bins[gap].pop()
-                used = min(times, n)
-                if used < times:
-                    bins[gap].append((held, times - used))
-                fresh.append((gap - length, [*held, length], used))
-                n -= used
-        again = True
-        while again:
-            again = False
-            todo, fresh = fresh, []
-            for gap, held, times in todo:
-                used = min(times, n) if gap >= length else 0
-                if used:
-                    fresh.append((gap - length, [*held, length], used))
-                    n, again = n - used, True
-                if times - used:
-                    bins[gap].append((held, times - used))
-        if n:
-            per = capacity // length
-            if n // per:
-                bins[capacity - per * length].append(([length] * per, n // per))
-            if n % per:
-                bins[capacity - n % per * length].append(([length] * (n % per), 1))
-    return out + [x for group in bins.values() for x in group]
+        while left[length]:
+            combo = [length]
+            left[length] -= 1
+            while more := nearest(capacity - sum(combo)):
+                combo += more
+                for x in more:
+                    left[x] -= 1
+            for x in combo:
+                left[x] += 1
+            use(combo)
+    return out
 
 
 def places(planned: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
