@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import consistency, graph, identifiers, ledger, links, report, sections, similarity, terms
+from . import consistency, graph, identifiers, ledger, links, report, sections, similarity, store, terms
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (identifiers, sections, links, consistency, terms, similarity, ledger, graph, report):
+for _module in (identifiers, sections, links, consistency, terms, similarity, ledger, graph, report, store):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
