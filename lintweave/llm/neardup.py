@@ -7,9 +7,9 @@ chunk is indexed SPAN times, each time without one of its values, and every pair
 pair at similarity 0.8 lacks such a chunk with probability 1e-7.)
 
 Of each key's classes, the smallest and the largest id are compared with all others; components of the confirmed links
-follow. Keys whose classes then lie in one component hold nothing new. For the others, classes of different components
-are compared with each other, except those already compared, so that no link between components is lost. A comparison
-looks at sizes and signatures first, then confirms on the full sets, made again from the whole texts.
+follow. Classes of one key that still lie in different components are compared with each other where a bound on their
+intersection allows a link (see ``unsettled``), so that no link between components is lost. A comparison looks at sizes
+and signatures first, then confirms on the full sets, made again from the whole texts.
 
 Texts without words have the empty set and no links; null texts are empty. Rows that repeat an id are one document.
 Other columns are ignored.
@@ -159,8 +159,11 @@ def close(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataF
     return near.select("a", "b", "sig_a", "sig_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Those of (a, b) whose full sets reach the similarity: 100 * intersection >= percent * union."""
+def compared(pairs: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, details: bool = False) -> DataFrame:
+    """Those of (a, b) whose full sets reach the similarity: 100 * intersection >= percent * union.
+
+    With details all pairs, as (a, b, n, n_b, c, novel): sizes, shingles in common, and those of a that b lacks.
+    """
     text = lambda x: docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     both = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
 
@@ -172,14 +175,49 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int = WIDTH, percent: in
                 for x in right:
                     if x not in distinct:
                         distinct[x] = shingle_sets([x], width)[0]
+                two = [(x, distinct[y]) for x, y in zip(sets, right, strict=True)]
+                if details:
+                    novel = [np.setdiff1d(x, y, assume_unique=True) for x, y in two]
+                    cols = [[len(x) for x, _ in two], [len(y) for _, y in two], [len(x) - len(r) for (x, _), r in zip(two, novel, strict=True)]]
+                    lists = pa.array([r.view(np.int64) for r in novel], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, pa.int64()) for c in cols), lists], ["a", "b", "n", "n_b", "c", "novel"])
+                    continue
                 keep = []
-                for x, y in zip(sets, (distinct[x] for x in right), strict=True):
+                for x, y in two:
                     common = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(100 * common >= percent * (len(x) + len(y) - common))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+    return both.mapInArrow(run, f"a {kind}, b {kind}" + ", n long, n_b long, c long, novel array<bigint>" * details)
+
+
+def unsettled(near: DataFrame, keys: DataFrame, hubs: DataFrame, known: DataFrame, source: DataFrame, shelf: Shelf, width: int, percent: int) -> DataFrame:
+    """(a, b): pairs that share a key, lie in different components and may reach the similarity.
+
+    All classes x of a key were compared with its smallest, h. Two of them have at most min(|x & h|, |y & h|) shingles in
+    common within h, so that a link needs the rest in common outside h: pairs are found by joining what x and y hold
+    beyond h, unless sizes alone leave the bound open. Classes too far from h to be compared with it are joined by key.
+    """
+    component = lambda x: known.select(F.col("node").alias(x), F.col("component").alias(f"component_{x}"))
+    low = keys.join(hubs.filter("n > 3").select("key", "low"), "key").filter("id <> low")
+    low = shelf.put(low.join(near.select(F.col("a").alias("id"), F.col("b").alias("low"), F.lit(True).alias("compared")), ["id", "low"], "left"), "low")
+    stars = low.filter("compared").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct().join(component("a"), "a", "left").join(component("b"), "b", "left")
+    stars = shelf.put(stars.select("a", "b", F.coalesce("component_a", "a").alias("x"), F.coalesce("component_b", "b").alias("y")), "low-stars")
+    open_hubs = shelf.put(stars.groupBy("b").agg(F.count_if(F.col("x") != F.col("y")).alias("strays"), F.count(F.lit(1)).alias("n")).filter("strays > 0 AND n > 1").select("b"), "open-hubs")
+    held = compared(stars.join(open_hubs, "b", "left_semi").select("a", "b"), source, width, percent, details=True)
+    held = shelf.put(held.join(stars, ["a", "b"]), "details")
+    stray = held.filter("x <> y")
+    enough = lambda c: c * (100 + percent) >= percent * (F.col("n") + F.col("m"))  # noqa: E731  c: of the intersection
+    other = held.select("b", F.col("a").alias("o"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("x").alias("z"), "novel")
+    ends = [F.greatest("a", "o").alias("a"), F.least("a", "o").alias("b")]
+    outside = stray.select("a", "b", "n", "c", "x", F.explode("novel").alias("shingle")).join(other.withColumn("shingle", F.explode("novel")).drop("novel"), ["b", "shingle"]).filter("a <> o AND x <> z")
+    by_novel = outside.groupBy("b", "a", "o", "n", "c", "m", "d").agg(F.count(F.lit(1)).alias("k")).filter(enough(F.least("c", "d") + F.col("k"))).select(*ends)
+    by_size = stray.drop("novel").join(other.drop("novel"), "b").filter((F.col("a") != F.col("o")) & (F.col("x") != F.col("z")) & enough(F.least("c", "d"))).select(*ends)
+    placed = low.join(component("id"), "id", "left").select("key", "id", "compared", F.coalesce("component_id", "id").alias("x"))
+    far = placed.filter("compared IS NULL").select("key", F.col("id").alias("a"), "x")
+    by_key = far.join(placed.select("key", F.col("id").alias("o"), F.col("x").alias("z")), "key").filter("a <> o AND x <> z").select(*ends)
+    return by_novel.unionByName(by_size).unionByName(by_key).distinct()
 
 
 def near_groups(docs: DataFrame, shelf: Shelf, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -194,17 +232,11 @@ def near_groups(docs: DataFrame, shelf: Shelf, id_col: str = "doc_id", text_col:
     joined = keys.join(hubs, "key")
     ends = joined.select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b")
     stars = shelf.put(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
-    links = shelf.put(confirmed(shelf.put(close(stars, classes, percent), "near"), source, width, percent), "links")
+    near = shelf.put(close(stars, classes, percent), "near")
+    links = shelf.put(compared(near, source, width, percent), "links")
     known = shelf.put(components(links, shelf), "known")
-    # keys whose classes still lie in different components; with up to three classes, all have been compared
-    rows = keys.join(hubs.filter("n > 3"), "key").join(known.withColumnRenamed("node", "id"), "id", "left")
-    rows = shelf.put(rows.select("key", "id", "low", "high", F.coalesce("component", "id").alias("component")), "rows")
-    open_keys = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    rows = shelf.put(rows.join(open_keys, "key", "left_semi").filter("id <> low AND id <> high"), "open")
-    others = rows.select("key", F.col("id").alias("b"), F.col("component").alias("component_b"))
-    rest = rows.join(others, "key").filter((F.col("id") > F.col("b")) & (F.col("component") != F.col("component_b")))
-    rest = shelf.put(rest.select(F.col("id").alias("a"), "b").distinct(), "rest")
-    more = shelf.put(confirmed(shelf.put(close(rest, classes, percent), "rest-near"), source, width, percent), "more")
+    rest = shelf.put(unsettled(near, keys, hubs, known, source, shelf, width, percent), "rest")
+    more = shelf.put(compared(shelf.put(close(rest, classes, percent), "rest-near"), source, width, percent), "more")
     labels = known
     if more.limit(1).count():
         labels = shelf.put(components(links.unionByName(more), shelf, "all"), "labels")
