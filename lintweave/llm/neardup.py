@@ -11,7 +11,8 @@ follow. Classes of one key that still lie in different components are compared w
 intersection allows a link (see ``unsettled``), so that no link between components is lost. A comparison looks at sizes
 and signatures first, then confirms on the full sets, made again from the whole texts.
 
-Texts without words have the empty set and no links; null texts are empty. Rows that repeat an id are one document.
+Texts without words have the empty set and no links; null texts are empty. Rows that repeat an id are one document; rows
+with a null id link nothing, but belong to the component of documents with their set.
 Other columns are ignored.
 """
 
@@ -224,7 +225,7 @@ def near_groups(docs: DataFrame, shelf: Shelf, id_col: str = "doc_id", text_col:
     """(doc_id, n_shingles, component_id, kept), a row for each id; the smallest id of a component is kept."""
     source = id_text(docs, id_col, text_col)
     sketches = shelf.put(sketch(source, width), "sketches")
-    classes = sketches.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").alias("id"), "n_shingles", "sig")).alias("c"))
+    classes = sketches.filter("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").alias("id"), "n_shingles", "sig")).alias("c"))
     classes = shelf.put(classes.select("set_id", "c.*"), "classes")
     keys = keyed(classes)
     hubs = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).filter("n > 1")
