@@ -7,8 +7,8 @@ chunk is indexed SPAN times, each time without one of its values, and every pair
 pair at similarity 0.8 lacks such a chunk with probability 1e-7.)
 
 Of each key's classes, the smallest and the largest id are compared with all others; components of the confirmed links
-follow. Classes of one key that still lie in different components are compared with each other where a bound on their
-intersection allows a link (see ``unsettled``), so that no link between components is lost. A comparison looks at sizes
+follow. Classes of one key that still lie in different components are compared with each other where their differences
+from the key's smallest class allow a link (see ``unsettled``), so that no link between components is lost. A comparison looks at sizes
 and signatures first, then confirms on the full sets, made again from the whole texts.
 
 Texts without words have the empty set and no links; null texts are empty. Rows that repeat an id are one document; rows
@@ -163,7 +163,7 @@ def close(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataF
 def compared(pairs: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, details: bool = False) -> DataFrame:
     """Those of (a, b) whose full sets reach the similarity: 100 * intersection >= percent * union.
 
-    With details all pairs, as (a, b, n, n_b, c, novel): sizes, shingles in common, and those of a that b lacks.
+    With details all pairs, as (a, b, n, n_b, apart): sizes, and the shingles of a that b lacks, then those of b that a lacks.
     """
     text = lambda x: docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     both = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
@@ -178,10 +178,9 @@ def compared(pairs: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int
                         distinct[x] = shingle_sets([x], width)[0]
                 two = [(x, distinct[y]) for x, y in zip(sets, right, strict=True)]
                 if details:
-                    novel = [np.setdiff1d(x, y, assume_unique=True) for x, y in two]
-                    cols = [[len(x) for x, _ in two], [len(y) for _, y in two], [len(x) - len(r) for (x, _), r in zip(two, novel, strict=True)]]
-                    lists = pa.array([r.view(np.int64) for r in novel], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, pa.int64()) for c in cols), lists], ["a", "b", "n", "n_b", "c", "novel"])
+                    apart = [np.concatenate([np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)]) for x, y in two]
+                    lists = pa.array([x.view(np.int64) for x in apart], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([len(z[i]) for z in two], pa.int64()) for i in (0, 1)), lists], ["a", "b", "n", "n_b", "apart"])
                     continue
                 keep = []
                 for x, y in two:
@@ -190,35 +189,56 @@ def compared(pairs: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return both.mapInArrow(run, f"a {kind}, b {kind}" + ", n long, n_b long, c long, novel array<bigint>" * details)
+    return both.mapInArrow(run, f"a {kind}, b {kind}" + ", n long, n_b long, apart array<bigint>" * details)
 
 
-def unsettled(near: DataFrame, keys: DataFrame, hubs: DataFrame, known: DataFrame, source: DataFrame, shelf: Shelf, width: int, percent: int) -> DataFrame:
+def unsettled(keys: DataFrame, hubs: DataFrame, known: DataFrame, source: DataFrame, shelf: Shelf, width: int, percent: int) -> DataFrame:
     """(a, b): pairs that share a key, lie in different components and may reach the similarity.
 
-    All classes x of a key were compared with its smallest, h. Two of them have at most min(|x & h|, |y & h|) shingles in
-    common within h, so that a link needs the rest in common outside h: pairs are found by joining what x and y hold
-    beyond h, unless sizes alone leave the bound open. Classes too far from h to be compared with it are joined by key.
+    With h a key's smallest class and D(x) the symmetric difference of x and h, that of x and y holds
+    |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles, so that a link needs
+    |D(x) & D(y)| >= (|D(x)| + |D(y)| - r (|x| + |y|)) / 2 with r = (100 - percent) / (100 + percent).
+    One of the two isn't in the component of h (a stray): its D has more than r (|x| + |h|) shingles. From this follow
+    least values of the right side that depend on one class only, and prefixes of each D that must share a shingle, the
+    shingles being ordered by their number of classes at h, the rarest first. Pairs are found by joining the prefixes;
+    the place of a shingle in both also tells how many can follow. Classes of a hub's largest component aren't joined
+    with each other.
     """
     component = lambda x: known.select(F.col("node").alias(x), F.col("component").alias(f"component_{x}"))
     low = keys.join(hubs.filter("n > 3").select("key", "low"), "key").filter("id <> low")
-    low = shelf.put(low.join(near.select(F.col("a").alias("id"), F.col("b").alias("low"), F.lit(True).alias("compared")), ["id", "low"], "left"), "low")
-    stars = low.filter("compared").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct().join(component("a"), "a", "left").join(component("b"), "b", "left")
+    stars = low.select(F.col("id").alias("a"), F.col("low").alias("b")).distinct().join(component("a"), "a", "left").join(component("b"), "b", "left")
     stars = shelf.put(stars.select("a", "b", F.coalesce("component_a", "a").alias("x"), F.coalesce("component_b", "b").alias("y")), "low-stars")
-    open_hubs = shelf.put(stars.groupBy("b").agg(F.count_if(F.col("x") != F.col("y")).alias("strays"), F.count(F.lit(1)).alias("n")).filter("strays > 0 AND n > 1").select("b"), "open-hubs")
+    sizes = stars.groupBy("b", "x").agg(F.count(F.lit(1)).alias("n"))
+    open_hubs = shelf.put(sizes.groupBy("b").agg(F.max_by("x", F.struct("n", "x")).alias("major"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("b", "major"), "open-hubs")
     held = compared(stars.join(open_hubs, "b", "left_semi").select("a", "b"), source, width, percent, details=True)
-    held = shelf.put(held.join(stars, ["a", "b"]), "details")
-    stray = held.filter("x <> y")
-    enough = lambda c: c * (100 + percent) >= percent * (F.col("n") + F.col("m"))  # noqa: E731  c: of the intersection
-    other = held.select("b", F.col("a").alias("o"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("x").alias("z"), "novel")
-    ends = [F.greatest("a", "o").alias("a"), F.least("a", "o").alias("b")]
-    outside = stray.select("a", "b", "n", "c", "x", F.explode("novel").alias("shingle")).join(other.withColumn("shingle", F.explode("novel")).drop("novel"), ["b", "shingle"]).filter("a <> o AND x <> z")
-    by_novel = outside.groupBy("b", "a", "o", "n", "c", "m", "d").agg(F.count(F.lit(1)).alias("k")).filter(enough(F.least("c", "d") + F.col("k"))).select(*ends)
-    by_size = stray.drop("novel").join(other.drop("novel"), "b").filter((F.col("a") != F.col("o")) & (F.col("x") != F.col("z")) & enough(F.least("c", "d"))).select(*ends)
-    placed = low.join(component("id"), "id", "left").select("key", "id", "compared", F.coalesce("component_id", "id").alias("x"))
-    far = placed.filter("compared IS NULL").select("key", F.col("id").alias("a"), "x")
-    by_key = far.join(placed.select("key", F.col("id").alias("o"), F.col("x").alias("z")), "key").filter("a <> o AND x <> z").select(*ends)
-    return by_novel.unionByName(by_size).unionByName(by_key).distinct()
+    held = held.join(stars, ["a", "b"]).join(open_hubs, "b").withColumn("d", F.size("apart").cast("long"))
+    two, r = F.lit(2 * (100 + percent)), 100 - percent
+    least = lambda c: F.greatest(F.lit(1), F.ceil(((100 + percent) * F.col("d") + r * c) / two))
+    held = held.select("a", "b", "x", "n", "d", "apart", (F.col("x") != F.col("y")).alias("stray"), (F.col("x") != F.col("major")).alias("minor"),
+                       (F.col("d") - least(-F.col("n") - F.col("n_b")) + 1).cast("int").alias("as_stray"), (F.col("d") - least(F.col("n_b") - F.col("n")) + 1).cast("int").alias("as_other"))
+    held = shelf.put(held, "details")
+    each = held.select("a", "b", F.explode("apart").alias("shingle"))
+    often = each.groupBy("b", "shingle").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    order = each.join(often, ["b", "shingle"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("c", "shingle"))).alias("order"))
+    held = shelf.put(held.drop("apart").join(order, ["a", "b"]).withColumn("alone", F.col("d").cast("int") - F.size("order")), "ordered")
+    names = {"a": "o", "x": "z", "n": "m", "d": "e", "at": "place"}
+
+    # two kinds of prefix, as the stray of a pair and as the other one
+    def prefixes(which: str, upto: str, right: bool = False) -> DataFrame:
+        cut = held.filter(which).filter(F.col(upto) > F.col("alone")).select("b", "a", "x", "n", "d", "alone", F.posexplode(F.slice("order.shingle", F.lit(1), F.col(upto) - F.col("alone"))).alias("at", "shingle"))
+        cut = cut.withColumn("at", F.col("at") + F.col("alone")).drop("alone")
+        return cut.withColumnsRenamed(names) if right else cut
+
+    enough = two * (F.least(F.col("d") - F.col("at"), F.col("e") - F.col("place"))) >= (100 + percent) * (F.col("d") + F.col("e")) - r * (F.col("n") + F.col("m"))
+    sized = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        found = left.join(right, ["b", "shingle"]).filter((F.col("a") != F.col("o")) & (F.col("x") != F.col("z")) & enough & sized)
+        return found.select(F.greatest("a", "o").alias("a"), F.least("a", "o").alias("b"))
+
+    strays = met(prefixes("minor AND stray", "as_stray"), prefixes("true", "as_other", right=True))
+    others = met(prefixes("minor AND NOT stray", "as_other"), prefixes("stray", "as_stray", right=True))
+    return strays.unionByName(others).distinct()
 
 
 def near_groups(docs: DataFrame, shelf: Shelf, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -236,7 +256,7 @@ def near_groups(docs: DataFrame, shelf: Shelf, id_col: str = "doc_id", text_col:
     near = shelf.put(close(stars, classes, percent), "near")
     links = shelf.put(compared(near, source, width, percent), "links")
     known = shelf.put(components(links, shelf), "known")
-    rest = shelf.put(unsettled(near, keys, hubs, known, source, shelf, width, percent), "rest")
+    rest = shelf.put(unsettled(keys, hubs, known, source, shelf, width, percent), "rest")
     more = shelf.put(compared(shelf.put(close(rest, classes, percent), "rest-near"), source, width, percent), "more")
     labels = known
     if more.limit(1).count():
