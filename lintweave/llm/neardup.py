@@ -258,10 +258,12 @@ def near_groups(docs: DataFrame, shelf: Shelf, id_col: str = "doc_id", text_col:
     known = shelf.put(components(links, shelf), "known")
     rest = shelf.put(unsettled(keys, hubs, known, source, shelf, width, percent), "rest")
     more = shelf.put(compared(shelf.put(close(rest, classes, percent), "rest-near"), source, width, percent), "more")
-    labels = known
+    by_set = classes.join(known.withColumnRenamed("node", "id"), "id", "left").select("set_id", F.coalesce("component", "id").alias("component"))
     if more.limit(1).count():
-        labels = shelf.put(components(links.unionByName(more), shelf, "all"), "labels")
-    by_set = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("set_id", F.coalesce("component", "id").alias("component"))
+        part = lambda x, to: known.select(F.col("node").alias(x), F.col("component").alias(to))
+        joined = more.join(part("a", "x"), "a", "left").join(part("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+        merged = shelf.put(components(joined, shelf, "all"), "merged").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        by_set = by_set.join(merged, "component", "left").select("set_id", F.coalesce("whole", "component").alias("component"))
     by_set = shelf.put(by_set, "by-set")
     out = sketches.join(by_set, "set_id", "left")
     component = F.coalesce("component", "doc_id")

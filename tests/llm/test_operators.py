@@ -158,6 +158,13 @@ def test_neardup(spark, table, empty):
             for _ in range(rnd.randrange(0, 6)):
                 w[rnd.randrange(60)] = rnd.choice(words)
             rows.append((len(rows) + g, " ".join(w)))
+    # one key, many copies at and around the threshold: strays of the smallest class that link with each other only
+    base = [rnd.choice(words) for _ in range(80)]
+    for i in range(60):
+        w = list(base)
+        for k in rnd.sample(range(80), 1 + i % 9):
+            w[k] = f"v{i // 2}" if i % 3 else rnd.choice(words)
+        rows.append((1000 + i, " ".join(w)))
     rows += [(900, None), (901, ""), (902, "Word"), (903, "word "), (904, "a b"), (905, "a b a b")]
     sets = {}
     for i, t in rows:
