@@ -2,13 +2,13 @@
 
 Rules (host, path, verdict) come first: a rule fits its host and all subdomains if the url's path starts with the rule's
 path, and the longest rule (host, then path) wins. Urls that a rule judges train two smoothed variable-order Markov
-models, one of allowed and one of blocked urls: counts of characters after contexts of length 0 to ORDER, contexts
-hashed to a table of fixed size, interpolated from short to long contexts with Witten-Bell weights. Other urls get the
+models, one of allowed and one of blocked urls: exact counts of characters after contexts of length 0 to ORDER,
+interpolated from short to long contexts with Witten-Bell weights. Other urls get the
 difference of the models' log-likelihoods per character, with digits folded to one sign; the threshold is calibrated on the trained urls' scores, as the bin edge with
 the fewest errors weighted by class, ties to the one nearest zero.
 
-Counts cover all rows and are summed in Spark; a model is BUCKETS rows of 2 numbers by order at most, whatever the
-input. Null urls and urls without "://" have an empty host and path. Without training urls of both kinds all scores are
+Counts cover all rows and stay in Spark tables: runs of ORDER + 1 bytes with their counts, which the distinct runs of all
+urls are joined with, and the urls with those. Only tables of contexts of up to two bytes are broadcast. Null urls and urls without "://" have an empty host and path. Without training urls of both kinds all scores are
 0 and the verdict is allow. Repeated rows count each time. Other columns are ignored.
 """
 
@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Shelf
+
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 ORDER = 4
-BUCKETS = 1 << 14
 #: Scores are calibrated on bins of this width between -LIMIT and LIMIT.
 BIN, LIMIT = 0.05, 5.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,87 +58,44 @@ def _codes(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.repeat(np.arange(len(texts)), [len(x) for x in texts])
 
 
-def _buckets(data: np.ndarray, owner: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each byte's context of a length, and of the context with the byte; a context stops at its url's start."""
-    h = np.full(len(data), 1469598103934665603 + order, np.uint64)
-    for k in range(order, 0, -1):
-        before = np.full(len(data), 10, np.uint64)
-        if len(data) > k:
-            same = owner[k:] == owner[:-k]
-            before[k:][same] = data[:-k][same]
-        h = (h ^ before) * np.uint64(1099511628211)
-    full = (h ^ data) * np.uint64(1099511628211)
-    cut = lambda x: ((x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - (BUCKETS.bit_length() - 1))).astype(np.int64)
-    return cut(h), cut(full)
-
-
-class Model:
-    """counts[class][order]: by bucket, of contexts and of contexts with their next byte, and kinds of next bytes."""
-
-    def __init__(self, rows):
-        self.context = np.zeros((2, ORDER + 1, BUCKETS))
-        self.full = np.zeros((2, ORDER + 1, BUCKETS))
-        self.kinds = np.zeros((2, ORDER + 1, BUCKETS))
-        for cls, order, what, bucket, n in rows:
-            (self.context, self.full, self.kinds)[what][cls, order, bucket] = n
-        self.trained = bool(self.context[0, 0].sum() and self.context[1, 0].sum())
-
-    def scores(self, hosts: list[str], paths: list[str]) -> np.ndarray:
-        """Log-likelihood of allow less that of block, by byte."""
-        if not hosts or not self.trained:
-            return np.zeros(len(hosts))
-        data, owner = _codes(hosts, paths)
-        p = np.full((2, len(data)), 1 / 256)
-        for order in range(ORDER + 1):
-            c, f = _buckets(data, owner, order)
-            n, kinds = self.context[:, order][:, c], np.maximum(self.kinds[:, order][:, c], 1)
-            seen = np.minimum(self.full[:, order][:, f], n)
-            p = np.where(n > 0, (seen + kinds * p) / (n + kinds), p)
-        logs = np.log(p[0]) - np.log(p[1])
-        return np.bincount(owner, logs, len(hosts)) / np.bincount(owner, minlength=len(hosts))
-
-
-def counts(judged: DataFrame) -> DataFrame:
-    """(cls, order, what, bucket, n) of the urls that rules judge; what: 0 contexts, 1 with the next byte, 2 kinds of next bytes."""
+def grams(urls: DataFrame) -> DataFrame:
+    """(url_id, gram, n) of (url_id, host, path): a url's runs of ORDER + 1 bytes as one number; the first ones are padded."""
 
-    def run(batches):
-        total = np.zeros((2, ORDER + 1, 2, BUCKETS), np.int64)
-        kinds = np.zeros((2, ORDER + 1, BUCKETS, 4), np.uint64)  # the next bytes seen, as bits
-        for batch in batches:
-            host, path, verdict = (batch.column(i).to_pylist() for i in range(3))
-            for cls, name in enumerate(("allow", "block")):
-                own = [i for i, v in enumerate(verdict) if v == name]
-                for at in range(0, len(own), 20_000):
-                    part = own[at : at + 20_000]
-                    data, owner = _codes([host[i] for i in part], [path[i] for i in part])
-                    for order in range(ORDER + 1):
-                        c, f = _buckets(data, owner, order)
-                        total[cls, order, 0] += np.bincount(c, minlength=BUCKETS)
-                        total[cls, order, 1] += np.bincount(f, minlength=BUCKETS)
-                        np.bitwise_or.at(kinds[cls, order], (c, data >> 6), np.uint64(1) << (data & 63).astype(np.uint64))
-        at = np.nonzero(total)
-        if len(at[0]):
-            names = ["cls", "order", "what", "bucket", "n"]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in at), pa.array(total[at])], names)
-            # a kind is a row of its own until the sum: bits of all tasks are joined by or
-            at = np.nonzero(kinds)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in (at[0], at[1], at[3] + 2, at[2])), pa.array(kinds[at].astype(np.int64))], names)
-
-    rows = judged.select("host", "path", "by_rule").filter("by_rule IS NOT NULL").mapInArrow(run, "cls int, order int, what int, bucket int, n long")
-    summed = rows.groupBy("cls", "order", "what", "bucket").agg(F.sum(F.when(F.col("what") < 2, F.col("n"))).alias("n"), F.bit_or("n").alias("bits"))
-    n = F.when(F.col("what") < 2, F.col("n")).otherwise(F.bit_count("bits"))
-    return summed.groupBy("cls", "order", F.least("what", F.lit(2)).alias("what"), "bucket").agg(F.sum(n).alias("n"))
-
-
-def _scored(judged: DataFrame, model) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
-                score = model.value.scores(part.column(1).to_pylist(), part.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], [*part.schema.names, "score"])
-
-    return judged.mapInArrow(run, f"{judged._jdf.schema().toDDL()}, score double")
+                data, owner = _codes(part.column(1).to_pylist(), part.column(2).to_pylist())
+                gram = data.astype(np.int64)
+                for k in range(1, ORDER + 1):
+                    before = np.full(len(data), 10, np.int64)
+                    same = owner[k:] == owner[:-k]
+                    before[k:][same] = data[:-k][same]
+                    gram |= before << (8 * k)
+                order = np.lexsort((gram, owner))
+                gram, owner = gram[order], owner[order]
+                at = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])])) if len(gram) else np.zeros(0, np.int64)
+                n = np.diff(np.concatenate([at, [len(gram)]]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner[at])), pa.array(gram[at]), pa.array(n.astype(np.int64))], ["url_id", "gram", "n"])
+
+    return urls.select("url_id", "host", "path").mapInArrow(run, "url_id long, gram long, n long")
+
+
+def ratios(known: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(gram, ratio) of the grams wanted: log-likelihood of allow less that of block, by known (gram, n0, n1)."""
+    out = wanted.select("gram", F.lit(1 / 256).alias("p0"), F.lit(1 / 256).alias("p1"))
+    for k in range(ORDER + 1):
+        key = F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1)
+        full = known.groupBy(key.alias("full")).agg(F.sum("n0").alias("f0"), F.sum("n1").alias("f1"))
+        of = F.shiftright("full", 8)
+        context = full.groupBy(of.alias("context")).agg(*(F.sum(f"f{c}").alias(f"c{c}") for c in (0, 1)), *(F.sum((F.col(f"f{c}") > 0).cast("long")).alias(f"k{c}") for c in (0, 1)))
+        # 65,536 contexts at most
+        context = F.broadcast(context) if k <= 2 else context
+        out = out.withColumn("full", key).withColumn("context", F.shiftright(key, 8))
+        out = out.join(F.broadcast(full) if k <= 1 else full, "full", "left").join(context, "context", "left")
+        p = (F.when(F.col(f"c{c}") > 0, (F.coalesce(f"f{c}", F.lit(0)) + F.col(f"k{c}") * F.col(f"p{c}")) / (F.col(f"c{c}") + F.col(f"k{c}"))).otherwise(F.col(f"p{c}")).alias(f"p{c}") for c in (0, 1))
+        out = out.select("gram", *p)
+    return out.select("gram", (F.log("p0") - F.log("p1")).alias("ratio"))
 
 
 def threshold(histogram: list[tuple[int, str, int]]) -> float:
@@ -155,14 +113,25 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     """(page_id, host, path, rule, verdict, score), a row for each row of pages."""
     spark = pages.sparkSession
     judged = ruled(pages, rules, id_col, url_col)
-    # bounded by 2 classes, ORDER + 1 orders, 3 kinds of count and BUCKETS
-    model = spark.sparkContext.broadcast(Model([tuple(r) for r in counts(judged).collect()]))
-    scored = _scored(judged, model)
+    shelf = Shelf(spark, "op8")
+    urls = judged.groupBy("host", "path").agg(*(F.sum((F.col("by_rule") == v).cast("long")).alias(f"t{c}") for c, v in enumerate(("allow", "block"))))
+    urls = shelf.put(urls.withColumn("url_id", F.monotonically_increasing_id()), "urls")
+    total = urls.agg(F.sum("t0"), F.sum("t1")).first()
+    trained = bool(total[0] and total[1])
+    scored = judged.withColumn("score", F.lit(0.0))
+    if trained:
+        own = shelf.put(grams(urls), "grams")
+        counted = own.join(urls.select("url_id", F.coalesce("t0", F.lit(0)).alias("t0"), F.coalesce("t1", F.lit(0)).alias("t1")), "url_id")
+        known = shelf.put(counted.groupBy("gram").agg(F.sum(F.col("n") * F.col("t0")).alias("n0"), F.sum(F.col("n") * F.col("t1")).alias("n1")), "known")
+        values = shelf.put(ratios(known.filter("n0 + n1 > 0"), known), "ratios")
+        by_url = own.join(values, "gram").groupBy("url_id").agg((F.sum(F.col("n") * F.col("ratio")) / F.sum("n")).alias("score"))
+        by_url = shelf.put(urls.join(by_url, "url_id").select("host", "path", "score"), "scores")
+        scored = judged.join(by_url, ["host", "path"]).select(*judged.columns, "score")
     edge = 0.0
-    if model.value.trained:
+    if trained:
         binned = F.floor(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col("score"))) / BIN).cast("int")
         edge = threshold([tuple(r) for r in scored.filter("by_rule IS NOT NULL").groupBy(binned.alias("b"), "by_rule").count().collect()])
-    own = F.when(F.col("score") >= F.lit(edge), "allow").otherwise("block") if model.value.trained else F.lit("allow")
+    own = F.when(F.col("score") >= F.lit(edge), "allow").otherwise("block") if trained else F.lit("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("by_rule", own).alias("verdict"), F.round("score", 6).alias("score"))
 
 
