@@ -1,10 +1,10 @@
-"""Operator 7: best-fit packing with exact-complement hashing.
+"""Operator 7: best-fit packing with exact complements.
 
 Texts become token ids (the vocabulary and merges of a ``tokenizers`` BPE file, run by tiktoken, which gives the same
 ids several times faster) and an end id. A text of more than CAPACITY ids is cut into pieces of CAPACITY, of which the
 first may be shorter. Packing needs the number of pieces of each length only, at most CAPACITY numbers, so the driver
-plans on this histogram whatever the size of the corpus: for each length, longest first, a hash index of single, pair
-and triple sums gives combinations that fill the gap exactly, used as often as counts allow; what remains goes
+plans on this histogram whatever the size of the corpus: for each length, longest first, the histogram is searched
+for singles, pairs and triples that fill the gap exactly, used as often as counts allow; what remains goes
 best-fit. Each piece then finds its place by its rank within its length, without a shuffle of texts.
 
 Null and empty texts are one piece holding the end id. Repeated rows are packed one by one. An empty table gives no
@@ -78,7 +78,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
     """[(lengths of a sequence, number of such sequences)] that uses up the counts of each length.
 
-    Longest first: a length takes the singles, pairs and triples that fill its gap exactly, looked up by their sum, as
+    Longest first: a length takes the singles, pairs and triples that fill its gap exactly, searched in the histogram, as
     often as counts allow; what is left of it takes the combination with the largest sum that fits, again and again.
     """
     left = np.zeros(capacity + 1, dtype=np.int64)
