@@ -49,11 +49,13 @@ def parts(text: str, size: int = PART_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
-def encode_text(enc: tiktoken.Encoding, text: str) -> np.ndarray:
-    """The ids of one text, as uint32."""
-    if len(text) <= PART_CHARS:
-        return np.array(enc.encode_ordinary(text), dtype="<u4")
-    return np.concatenate([np.array(enc.encode_ordinary(x), dtype="<u4") for x in parts(text)])
+def encode_text(enc: tiktoken.Encoding, text: str, special: bool = False) -> np.ndarray:
+    """The ids of one text, as uint32; with special, the encoding's special tokens get their own ids."""
+
+    def ids(x: str) -> np.ndarray:
+        return np.array(enc.encode(x, allowed_special="all") if special else enc.encode_ordinary(x), dtype="<u4")
+
+    return ids(text) if len(text) <= PART_CHARS else np.concatenate([ids(x) for x in parts(text)])
 
 
 def decode_ids(enc: tiktoken.Encoding, ids: np.ndarray) -> bytes:

@@ -1,11 +1,11 @@
 """Operator 7: best-fit packing with exact complements.
 
-Texts become token ids (the vocabulary and merges of a ``tokenizers`` BPE file, run by tiktoken, which gives the same
-ids several times faster) and an end id. A text of more than CAPACITY ids is cut into pieces of CAPACITY, of which the
+Texts become token ids (the vocabulary, merges and added tokens of a ``tokenizers`` BPE file, run by tiktoken, which gives
+the same ids several times faster) and an end id. A text of more than CAPACITY ids is cut into pieces of CAPACITY, of which the
 first may be shorter. Packing needs the number of pieces of each length only, at most CAPACITY numbers, so the driver
 plans on this histogram whatever the size of the corpus: for each length, longest first, the histogram is searched
 for singles, pairs and triples that fill the gap exactly, used as often as counts allow; what remains goes
-best-fit. Each piece then finds its place by its rank within its length, without a shuffle of texts.
+best-fit. Each piece then finds its place by its rank within its length; only pieces' numbers are shuffled, never texts.
 
 Null and empty texts are one piece holding the end id. Repeated rows are packed one by one. An empty table gives no
 rows. Other columns are ignored.
@@ -14,6 +14,7 @@ rows. Other columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import defaultdict
 from functools import lru_cache
@@ -35,14 +36,19 @@ END_ID = 2
 
 @lru_cache(maxsize=2)
 def bpe_of_json(path: str) -> tiktoken.Encoding:
-    """The encoding of a byte-level BPE file of ``tokenizers`` whose ids follow its merges."""
+    """The encoding of a byte-level BPE file of ``tokenizers`` whose ids follow its merges.
+
+    Its added tokens are split off first, wherever they stand, as that library does without any option.
+    """
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    special = {x["content"] for x in spec["added_tokens"]}
+    special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+    if any(x["single_word"] or x["lstrip"] or x["rstrip"] or re.search(r"\s", x["content"]) for x in spec["added_tokens"]):
+        raise ValueError("added tokens that take blanks or whole words aren't supported")
     ranks = {bytes(shown[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("json", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("json", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -54,7 +60,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             for part, texts in slices(batch):
                 take, cols = [], [[] for _ in range(6)]
                 for row, text in enumerate(texts):
-                    ids = np.append(encode_text(enc, text), np.uint32(END_ID)).astype("<u4")
+                    ids = np.append(encode_text(enc, text, special=True), np.uint32(END_ID)).astype("<u4")
                     start, k = 0, 0
                     while start < len(ids):
                         size = capacity if k or len(ids) <= capacity else len(ids) % capacity or capacity
@@ -194,7 +200,8 @@ def pack(docs: DataFrame, path: str, shelf: Shelf, id_col: str = "doc_id", text_
     histogram = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     where = made.sparkSession.sparkContext.broadcast(places(plan(histogram, capacity)))
     first = sums.selectExpr("length", "part", "sum(n) OVER (PARTITION BY length ORDER BY part) - n AS first")
-    ranked = made.join(first, ["length", "part"]).withColumn("rank", F.col("first") + F.col("nth"))
+    # its rows grow with the partitions: never broadcast, whatever Spark thinks of its size
+    ranked = made.join(first.hint("merge"), ["length", "part"]).withColumn("rank", F.col("first") + F.col("nth"))
 
     def run(batches):
         for batch in batches:
