@@ -1,8 +1,9 @@
 """Operator 10: Ogg media columns.
 
 Writing: the payload (UTF-8 bytes, filled with spaces to a positive multiple of 192) is 8-bit mono audio in packets of
-192 bytes. Packets alternate between two logical streams, whose pages are interleaved; each stream starts with a header
-packet and each page carries its granule position (samples so far) and checksum. Reading: pages are found by their
+up to 768 bytes, of four lacing values. Packets alternate between two logical streams, whose pages are interleaved; each
+stream starts with a header packet, a page holds 255 lacing values, wherever that cuts a packet, and carries its granule
+position (samples of the packets that end on it and before, -1 if none ends) and checksum. Reading: pages are found by their
 capture pattern, their checksums verified, packets reassembled from lacing values (also across pages), streams
 demultiplexed by serial number, and timestamps derived from granule positions.
 
@@ -23,10 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents, id_text, slices
 
 PACKET = 192
+#: Bytes of a packet, but the last one.
+PACKET_BYTES = 4 * PACKET
 RATE = 8000
 STREAMS = 2
-#: Packets of a page.
-PAGE_PACKETS = 64
+#: Lacing values of a page.
+PAGE_VALUES = 255
 MAGIC = b"Samples8"
 _REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 
@@ -37,26 +40,32 @@ def checksum(page: bytes) -> int:
     return int.from_bytes(reflected.to_bytes(4, "big").translate(_REVERSED), "little")
 
 
-def _page(packets: list[bytes], flags: int, granule: int, serial: int, number: int) -> bytes:
-    lacing = b"".join(b"\xff" * (len(x) // 255) + bytes([len(x) % 255]) for x in packets)
-    head = struct.pack("<4sBBqIII", b"OggS", 0, flags, granule, serial, number, 0) + bytes([len(lacing)]) + lacing
-    page = head + b"".join(packets)
+def _page(lacing: list[int], body: bytes, flags: int, granule: int, serial: int, number: int) -> bytes:
+    page = struct.pack("<4sBBqIII", b"OggS", 0, flags, granule, serial, number, 0) + bytes([len(lacing), *lacing]) + body
     return page[:22] + struct.pack("<I", checksum(page)) + page[26:]
 
 
+def pages(packets: list[bytes], serial: int, values: int = PAGE_VALUES) -> list[bytes]:
+    """A logical stream's pages after its header page; the last says so."""
+    lacing = [x for p in packets for x in (*[255] * (len(p) // 255), len(p) % 255)]
+    body, out, at, ended, goes_on = b"".join(packets), [], 0, 0, False
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in packets], dtype=np.int64)])
+    for k in range(0, max(1, len(lacing)), values):
+        own = lacing[k : k + values]
+        end, last, more = at + sum(own), k + values >= len(lacing), sum(x < 255 for x in own)
+        out.append(_page(own, body[at:end], goes_on + 4 * last, int(ends[ended + more]) if more or last else -1, serial, k // values + 1))
+        at, ended, goes_on = end, ended + more, bool(own) and own[-1] == 255
+    return out
+
+
 def write(payload: bytes) -> bytes:
     """The container's bytes for a payload of a multiple of PACKET bytes."""
-    packets = [payload[i : i + PACKET] for i in range(0, len(payload), PACKET)]
-    own = [packets[s::STREAMS] for s in range(STREAMS)]
+    packets = [payload[i : i + PACKET_BYTES] for i in range(0, len(payload), PACKET_BYTES)]
     # all streams begin before any goes on
-    out = [_page([MAGIC + struct.pack("<IBB", RATE, STREAMS, s)], 2, 0, s + 1, 0) for s in range(STREAMS)]
-    most = max(len(x) for x in own)
-    for k, at in enumerate(range(0, most, PAGE_PACKETS)):
-        for s, mine in enumerate(own):
-            part = mine[at : at + PAGE_PACKETS]
-            if part or not at:
-                end = at + PAGE_PACKETS >= len(mine)
-                out.append(_page(part, 4 * end, PACKET * (at + len(part)), s + 1, k + 1))
+    out = [_page([len(MAGIC) + 6], MAGIC + struct.pack("<IBB", RATE, STREAMS, s), 2, 0, s + 1, 0) for s in range(STREAMS)]
+    own = [pages(packets[s::STREAMS], s + 1) for s in range(STREAMS)]
+    for k in range(max(map(len, own))):
+        out += [x[k] for x in own if k < len(x)]
     return b"".join(out)
 
 
@@ -82,7 +91,9 @@ def read(data: bytes) -> tuple[bytes, dict[str, int]]:
             raise ValueError("a page is missing")
         numbers[serial], pages, at = number, pages + 1, end
         place = 27 + n
-        held = open_packet.pop(serial, b"") if flags & 1 else b""
+        if bool(flags & 1) != (serial in open_packet):
+            raise ValueError("a packet goes on where none is open, or isn't gone on with")
+        held = open_packet.pop(serial, b"")
         done = packets.setdefault(serial, [])
         for size in lacing:
             held += page[place : place + size]
