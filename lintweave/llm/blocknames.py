@@ -1,31 +1,75 @@
 """Operator 5: exact duplicates by deterministic block naming.
 
-A text's UTF-8 bytes are cut into blocks of a fixed size. The distinct blocks are sorted and named by integers; then
-adjacent pairs of names are named in the same way, level by level, until each text has one name. Two texts of the same
-number of blocks have the same name if and only if they are equal: names stand for contents, not for hashes, so there
-are no collisions. The number of levels is the logarithm of the longest text's blocks; only texts that still have more
-than one name take part in a level.
-
-Distinct blocks are pre-aggregated before the shuffle, and the join that brings names back to their rows lets adaptive
-execution split a hot name. Null texts are equal to empty ones (one empty block). Of equal texts the row with the
-largest id stays; rows that repeat an id stay or go together. Other columns are ignored.
+A text's UTF-8 bytes are cut into blocks of a fixed size. All blocks are sorted and named by their rank among the distinct
+ones; then adjacent pairs of names are named in the same way, level by level, until each text has one name. Two texts of
+the same number of blocks have the same name if and only if they are equal: names stand for contents, not for hashes, so
+there are no collisions. They depend on the texts alone, not on partitions or on the order of rows. The number of levels
+is the logarithm of the longest text's blocks; only texts that still have more than one name take part in a level.
+
+Blocks go through one shuffle, by ranges of (block, row), so that a block that very many rows hold is spread over as many
+ranges as it needs. Each range ranks its own rows; its first and last block and its number of distinct ones, a row for
+each range, tell the driver how many names come before it. Null texts are equal to empty ones (one empty block). Of equal
+texts the row with the largest id stays, and all of those that tie on it; a null id is smaller than all. Other columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Shelf, documents, id_text
 
 BLOCK_BYTES = 4096
 
 
-def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds name: the same integer for rows with equal keys, another for others."""
-    distinct = rows.select(*keys).distinct().sortWithinPartitions(*keys)
-    names = distinct.withColumn("name", F.monotonically_increasing_id())
-    return rows.join(names, keys)
+def _named(rows: DataFrame, keys: list[str], shelf: Shelf, name: str) -> DataFrame:
+    """rows with the rank of their key among the distinct ones as name, in place of keys. Keys aren't null; row is a column."""
+    rest = [x for x in rows.columns if x not in keys]
+    dealt = rows.select(*keys, *rest).repartitionByRange(*keys, "row").sortWithinPartitions(*keys)
+    n = len(keys)
+
+    def run(batches):
+        part, local, first, last = TaskContext.get().partitionId(), -1, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = pa.array([True] * (batch.num_rows - 1), pa.bool_())
+            for i in range(n):
+                differs = pc.not_equal(batch.column(i).slice(1), batch.column(i).slice(0, batch.num_rows - 1))
+                new = differs if not i else pc.or_(new, differs)
+            opening = [batch.column(i)[0].as_py() for i in range(n)]
+            first = first or opening
+            local += opening != last
+            last = [batch.column(i)[batch.num_rows - 1].as_py() for i in range(n)]
+            rank = pc.cumulative_sum(pa.concat_arrays([pa.array([local], pa.int64()), new.cast(pa.int64())]))
+            nothing = [pa.nulls(batch.num_rows, f.type) for f in batch.schema][:n] * 2
+            local = rank[-1].as_py()
+            yield pa.RecordBatch.from_arrays([*batch.columns[n:], pa.array([part] * batch.num_rows, pa.int32()), rank, *nothing], names)
+        if first:
+            # of the range: its number of distinct keys less 1, its first key and its last
+            empty = [pa.nulls(1, t) for t in kinds]
+            ends = [pa.array([x], t) for x, t in zip([*first, *last], key_kinds * 2, strict=True)]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array([part], pa.int32()), pa.array([local], pa.int64()), *ends], names)
+
+    edges = [f"{end}_{x}" for end in ("first", "last") for x in keys]
+    names = [*rest, "part", "local", *edges]
+    kinds, key_kinds = ([to_arrow_type(rows.schema[x].dataType) for x in xs] for xs in (rest, keys))
+    spelled = [f"{x} {rows.schema[x].dataType.simpleString()}" for x in rest] + ["part int", "local long"] + [f"{end}_{x} {rows.schema[x].dataType.simpleString()}" for end in ("first", "last") for x in keys]
+    made = shelf.put(dealt.mapInArrow(run, ", ".join(spelled)), name)
+    # a row for each range
+    total, before, previous = 0, [], None
+    for r in sorted(made.filter(f"{edges[0]} IS NOT NULL").select("part", "local", *edges).collect()):
+        first, last = list(r[2 : 2 + n]), list(r[2 + n :])
+        total -= first == previous
+        before.append((r.part, total))
+        total, previous = total + r.local + 1, last
+    offsets = made.sparkSession.createDataFrame(before, "part int, before long")
+    return made.filter(f"{edges[0]} IS NULL").join(F.broadcast(offsets), "part").select(*rest, (F.col("before") + F.col("local")).alias("name"))
 
 
 def identities(docs: DataFrame, shelf: Shelf, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK_BYTES) -> DataFrame:
@@ -40,11 +84,12 @@ def identities(docs: DataFrame, shelf: Shelf, id_col: str = "doc_id", text_col:
         n.alias("n_blocks"),
         F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.col("bytes").substr(i * block + 1, F.lit(block)))).alias("pos", "block"),
     )
-    digest = F.when(F.col("pos") == 0, F.col("text_sha256")).alias("text_sha256")
-    level = shelf.put(_named(cut.select("row", "doc_id", "n_blocks", "pos", "block", digest), ["block"]).drop("block"), "level0")
-    done = level.filter("n_blocks = 1").select("doc_id", "n_blocks", "name", "text_sha256")
+    digest = F.when(F.col("pos") == 0, F.unhex("text_sha256")).alias("digest")
+    level = _named(cut.select("row", "doc_id", "n_blocks", "pos", "block", digest), ["block"], shelf, "level0")
+    out = ("doc_id", "n_blocks", "name", "digest")
+    done = level.filter("n_blocks = 1").select(*out)
     longest = level.agg(F.max("n_blocks")).first()[0] or 1
-    rest = level.filter("n_blocks > 1").select("row", "doc_id", "n_blocks", "pos", "name", "text_sha256")
+    rest = level.filter("n_blocks > 1").select("row", "doc_id", "n_blocks", "pos", "name", "digest")
     depth = 0
     while (longest - 1) >> depth:
         half = F.col("pos").bitwiseAND(F.lit(1))
@@ -52,16 +97,14 @@ def identities(docs: DataFrame, shelf: Shelf, id_col: str = "doc_id", text_col:
             F.max("doc_id").alias("doc_id"),
             F.max(F.when(half == 0, F.col("name"))).alias("left"),
             F.coalesce(F.max(F.when(half == 1, F.col("name"))), F.lit(-1)).alias("right"),
-            F.max("text_sha256").alias("text_sha256"),
+            F.max("digest").alias("digest"),
         )
         depth += 1
-        rest = shelf.put(_named(pairs, ["left", "right"]).select("row", "doc_id", "n_blocks", "pos", "name", "text_sha256"), f"level{depth}")
-        if depth > 1:
-            shelf.drop(f"level{depth - 1}")
+        rest = _named(pairs, ["left", "right"], shelf, f"level{depth}")
         ready = F.shiftright(F.col("n_blocks") - 1, depth) == 0
-        done = done.unionByName(shelf.put(rest.filter(ready).select("doc_id", "n_blocks", "name", "text_sha256"), f"done{depth}"))
+        done = done.unionByName(rest.filter(ready).select(*out))
         rest = rest.filter(~ready)
-    return done
+    return done.select("doc_id", "n_blocks", "name", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def exact_groups(docs: DataFrame, shelf: Shelf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
