@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 #: Rows and characters that one slice of an Arrow batch may hold while Python works on it.
 SLICE_ROWS = 256
 SLICE_CHARS = 1 << 20
+#: Bytes of an Arrow batch while a table of a Shelf is written; JVM and Python each hold some of them for each task.
+_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,11 +64,18 @@ class Shelf:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/lintweave-{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def put(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         """Writes df and returns it as read back, with its own schema."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path, partitionBy=partition_by)
+        self.names.add(name)
+        before = self.spark.conf.get(_BATCH[0])
+        self.spark.conf.set(*_BATCH)
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path, partitionBy=partition_by)
+        finally:
+            self.spark.conf.set(_BATCH[0], before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -73,3 +83,14 @@ class Shelf:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.names.discard(name)
+
+    def tidy(self) -> None:
+        """Shuffles of finished tables go from the disks; they do when the driver's JVM collects its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but these, which a result still reads."""
+        for name in self.names - set(names):
+            self.drop(name)

@@ -1,19 +1,21 @@
 """Operator 6: near-duplicates by MinHash and a multi-index Hamming join.
 
-A document is its set of distinct shingles of WIDTH words. Documents with the same set form a class, of which only the
-smallest id goes on. A class has a signature of CHUNKS * SPAN MinHash values of 16 bits. Two signatures that differ in
-at most 2 * CHUNKS - 1 values have, by the pigeonhole principle, a chunk in which at most one value differs; so each
-chunk is indexed SPAN times, each time without one of its values, and every pair within that distance shares a key. (A
-pair at similarity 0.8 lacks such a chunk with probability 1e-7.)
-
-Of each key's classes, the smallest and the largest id are compared with all others; components of the confirmed links
-follow. Classes of one key that still lie in different components are compared with each other where their differences
-from the key's smallest class allow a link (see ``unsettled``), so that no link between components is lost. A comparison looks at sizes
-and signatures first, then confirms on the full sets, made again from the whole texts.
-
-Texts without words have the empty set and no links; null texts are empty. Rows that repeat an id are one document; rows
-with a null id link nothing, but belong to the component of documents with their set.
-Other columns are ignored.
+A document is its set of distinct shingles of WIDTH words. Documents with the same set form a class, which has an integer
+of its own and goes on with the text of its smallest id. A class has a signature of CHUNKS * SPAN MinHash values of 16
+bits. Two signatures that differ in at most 2 * CHUNKS - 1 values have, by the pigeonhole principle, a chunk in which at
+most one value differs; so each chunk is indexed SPAN times, each time without one of its values, and every pair within
+that distance shares a key. (A pair at similarity 0.8 lacks such a chunk with probability 1e-7.)
+
+Links are looked for in three passes, each of which drops what the one before has settled: (1) each class is compared with
+its anchor, of the smallest classes of its keys the one that shares most keys with it; (2) of each key whose classes still lie in different components,
+the smallest and the largest class are compared with the classes of other components; (3) classes of one key that lie in
+different components even then are compared where their differences from a common class allow a link (see ``unsettled``).
+So a group of near copies costs about one comparison for each copy, and no link between components is lost. A comparison
+looks at sizes and signatures first, then confirms on the full sets of 64-bit shingle hashes, made again from whole texts.
+
+Texts without words have the empty set and no links; null texts are empty. Rows that repeat an id with another text are
+compared on their own, and a component's id is the smallest of its rows; rows with a null id link nothing, but belong to the
+component of documents with their set (null if there is none). Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ CHUNKS, SPAN = 12, 5
 VALUES = CHUNKS * SPAN
 #: Signatures that differ in more values aren't compared in full: at similarity 0.8, a chance of 1e-9.
 FARTHEST = 32
-WIDTH, PERCENT = 2, 80
+WIDTH, PERCENT = 5, 80
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -104,30 +106,35 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def set_name(shingles: np.ndarray) -> bytes | None:
+    """16 bytes that name a set; None for the empty one."""
+    return hashlib.sha256(shingles.tobytes()).digest()[:16] if len(shingles) else None
+
+
 def sketch(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, set_id, sig) of (doc_id, text); set_id and sig are null for the empty set. No shuffle."""
+    """(doc_id, text_sha256, n_shingles, set_id, sig) of (doc_id, text); set_id and sig are null for the empty set. No shuffle."""
 
     def run(batches):
         for batch in batches:
             for part, texts in slices(batch):
                 sets = shingle_sets(texts, width)
-                full = [x for x in sets if len(x)]
-                sigs = iter(signatures(full))
-                ids = [hashlib.sha256(x.tobytes()).digest()[:16] if len(x) else None for x in sets]
-                cols = [pa.array([len(x) for x in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array([next(sigs).tobytes() if len(x) else None for x in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["doc_id", "n_shingles", "set_id", "sig"])
+                sigs = iter(signatures([x for x in sets if len(x)]))
+                cols = [pa.array([len(x) for x in sets], pa.int64()), pa.array([set_name(x) for x in sets], pa.binary()), pa.array([next(sigs).tobytes() if len(x) else None for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *cols], ["doc_id", "text_sha256", "n_shingles", "set_id", "sig"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_id binary, sig binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text", F.sha2("text", 256).alias("text_sha256")).mapInArrow(run, f"doc_id {kind}, text_sha256 string, n_shingles long, set_id binary, sig binary")
 
 
 def keyed(classes: DataFrame) -> DataFrame:
-    """(id, key): CHUNKS * SPAN rows for each class of (id, sig)."""
+    """Each class of (sig, ...) CHUNKS * SPAN times, a key in place of sig."""
+    rest = [x for x in classes.columns if x != "sig"]
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
-                sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, CHUNKS, SPAN).astype(np.uint64)
+                sig = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint16).reshape(-1, CHUNKS, SPAN).astype(np.uint64)
                 keys = np.empty((len(sig), CHUNKS, SPAN), np.uint64)
                 tags = np.arange(CHUNKS, dtype=np.uint64) * np.uint64(SPAN + 1)
                 for out in range(SPAN):
@@ -138,10 +145,10 @@ def keyed(classes: DataFrame) -> DataFrame:
                     keys[:, :, out] = k
                 flat = pa.array(keys.reshape(-1).view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * VALUES), flat)
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["id", "keys"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], lists], [*rest, "keys"])
 
-    kind = classes.schema["id"].dataType.simpleString()
-    return classes.select("id", "sig").mapInArrow(run, f"id {kind}, keys array<bigint>").select("id", F.explode("keys").alias("key"))
+    kinds = "".join(f"{x} {classes.schema[x].dataType.simpleString()}, " for x in rest)
+    return classes.select("sig", *rest).mapInArrow(run, f"{kinds}keys array<bigint>").select(*rest, F.explode("keys").alias("key"))
 
 
 def close(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -156,27 +163,30 @@ def close(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataF
                 x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, VALUES) for i in (2, 3))
                 yield batch.select(["a", "b"]).filter(pa.array((x != y).sum(axis=1) <= FARTHEST))
 
-    kind = classes.schema["id"].dataType.simpleString()
-    return near.select("a", "b", "sig_a", "sig_b").mapInArrow(run, f"a {kind}, b {kind}")
+    return near.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def compared(pairs: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, details: bool = False) -> DataFrame:
+def compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, details: bool = False) -> DataFrame:
     """Those of (a, b) whose full sets reach the similarity: 100 * intersection >= percent * union.
 
     With details all pairs, as (a, b, n, n_b, apart): sizes, and the shingles of a that b lacks, then those of b that a lacks.
     """
-    text = lambda x: docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-    both = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
+    of = lambda x: classes.select(F.col("id").alias(x), F.col("doc_id").alias(f"doc_{x}"), F.col("set_id").alias(f"set_{x}"))
+    text = lambda x: docs.select(F.col("doc_id").alias(f"doc_{x}"), F.col("text").alias(f"text_{x}"))
+    named = pairs.join(of("a"), "a").join(of("b"), "b")
+    both = named.join(text("a"), "doc_a").join(text("b"), "doc_b").select("a", "b", "text_a", "text_b", "set_a", "set_b")
 
     def run(batches):
         for batch in batches:
             for part, left in slices(batch, "text_a"):
-                right = part.column(3).to_pylist()
-                sets, distinct = shingle_sets(left, width), {}
-                for x in right:
-                    if x not in distinct:
-                        distinct[x] = shingle_sets([x], width)[0]
-                two = [(x, distinct[y]) for x, y in zip(sets, right, strict=True)]
+                right, sets, distinct = part.column(3).to_pylist(), shingle_sets(left, width), {}
+                for y in right:
+                    if y not in distinct:
+                        distinct[y] = (own := shingle_sets([y], width)[0]), set_name(own)
+                # an id that rows repeat brings texts of other classes too
+                own = [set_name(x) == m and distinct[y][1] == n for x, y, m, n in zip(sets, right, part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True)]
+                part = part.filter(pa.array(own, pa.bool_()))
+                two = [(x, distinct[y][0]) for x, y, mine in zip(sets, right, own, strict=True) if mine]
                 if details:
                     apart = [np.concatenate([np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)]) for x, y in two]
                     lists = pa.array([x.view(np.int64) for x in apart], pa.list_(pa.int64()))
@@ -188,14 +198,22 @@ def compared(pairs: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int
                     keep.append(100 * common >= percent * (len(x) + len(y) - common))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return both.mapInArrow(run, f"a {kind}, b {kind}" + ", n long, n_b long, apart array<bigint>" * details)
+    return both.mapInArrow(run, "a long, b long" + ", n long, n_b long, apart array<bigint>" * details)
+
+
+def relabelled(labels: DataFrame, links: DataFrame, shelf: Shelf, name: str) -> DataFrame:
+    """labels (id, component, ...) with the components that links (a, b) join as one, named by their smallest."""
+    part = lambda x, to: labels.select(F.col("id").alias(x), F.col("component").alias(to))
+    edges = links.join(part("a", "x"), "a").join(part("b", "y"), "b").filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    whole = components(edges, shelf, name).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    return labels.join(whole, "component", "left").withColumn("component", F.coalesce("whole", "component")).drop("whole").select(*labels.columns)
 
 
-def unsettled(keys: DataFrame, hubs: DataFrame, known: DataFrame, source: DataFrame, shelf: Shelf, width: int, percent: int) -> DataFrame:
+def unsettled(labels: DataFrame, classes: DataFrame, source: DataFrame, shelf: Shelf, width: int, percent: int) -> DataFrame:
     """(a, b): pairs that share a key, lie in different components and may reach the similarity.
 
-    With h a key's smallest class and D(x) the symmetric difference of x and h, that of x and y holds
+    A key's hub is the anchor of all its classes if they have the same one, else its smallest class; all its classes have
+    been compared with it. With h the hub and D(x) the symmetric difference of x and h, that of x and y holds
     |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles, so that a link needs
     |D(x) & D(y)| >= (|D(x)| + |D(y)| - r (|x| + |y|)) / 2 with r = (100 - percent) / (100 + percent).
     One of the two isn't in the component of h (a stray): its D has more than r (|x| + |h|) shingles. From this follow
@@ -204,13 +222,16 @@ def unsettled(keys: DataFrame, hubs: DataFrame, known: DataFrame, source: DataFr
     the place of a shingle in both also tells how many can follow. Classes of a hub's largest component aren't joined
     with each other.
     """
-    component = lambda x: known.select(F.col("node").alias(x), F.col("component").alias(f"component_{x}"))
-    low = keys.join(hubs.filter("n > 3").select("key", "low"), "key").filter("id <> low")
-    stars = low.select(F.col("id").alias("a"), F.col("low").alias("b")).distinct().join(component("a"), "a", "left").join(component("b"), "b", "left")
-    stars = shelf.put(stars.select("a", "b", F.coalesce("component_a", "a").alias("x"), F.coalesce("component_b", "b").alias("y")), "low-stars")
+    keys = keyed(labels.select("id", "sig", "component", "anchor"))
+    low, high = F.min("anchor"), F.max("anchor")
+    open_keys = keys.groupBy("key").agg(F.when(low == high, low).otherwise(F.min("id")).alias("hub"), F.min("component").alias("c"), F.max("component").alias("d"), F.count(F.lit(1)).alias("n"))
+    # of three classes or fewer all pairs have been compared
+    open_keys = shelf.put(open_keys.filter("c <> d AND n > 3").select("key", "hub"), "open-keys")
+    at = keys.join(open_keys, "key").filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"), F.col("component").alias("x")).distinct()
+    stars = shelf.put(at.join(labels.select(F.col("id").alias("b"), F.col("component").alias("y")), "b").select("a", "b", "x", "y"), "members")
     sizes = stars.groupBy("b", "x").agg(F.count(F.lit(1)).alias("n"))
     open_hubs = shelf.put(sizes.groupBy("b").agg(F.max_by("x", F.struct("n", "x")).alias("major"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("b", "major"), "open-hubs")
-    held = compared(stars.join(open_hubs, "b", "left_semi").select("a", "b"), source, width, percent, details=True)
+    held = compared(stars.join(open_hubs, "b", "left_semi").select("a", "b"), classes, source, width, percent, details=True)
     held = held.join(stars, ["a", "b"]).join(open_hubs, "b").withColumn("d", F.size("apart").cast("long"))
     two, r = F.lit(2 * (100 + percent)), 100 - percent
     least = lambda c: F.greatest(F.lit(1), F.ceil(((100 + percent) * F.col("d") + r * c) / two))
@@ -242,34 +263,48 @@ def unsettled(keys: DataFrame, hubs: DataFrame, known: DataFrame, source: DataFr
 
 
 def near_groups(docs: DataFrame, shelf: Shelf, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), a row for each id; the smallest id of a component is kept."""
+    """(doc_id, text_sha256, n_shingles, component_id, kept), a row for each row of docs; the smallest id of a component is kept."""
     source = id_text(docs, id_col, text_col)
     sketches = shelf.put(sketch(source, width), "sketches")
-    classes = sketches.filter("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").alias("id"), "n_shingles", "sig")).alias("c"))
-    classes = shelf.put(classes.select("set_id", "c.*"), "classes")
-    keys = keyed(classes)
-    hubs = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    hubs = shelf.put(hubs, "hubs")
-    joined = keys.join(hubs, "key")
-    ends = joined.select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b")
-    stars = shelf.put(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
-    near = shelf.put(close(stars, classes, percent), "near")
-    links = shelf.put(compared(near, source, width, percent), "links")
-    known = shelf.put(components(links, shelf), "known")
-    rest = shelf.put(unsettled(keys, hubs, known, source, shelf, width, percent), "rest")
-    more = shelf.put(compared(shelf.put(close(rest, classes, percent), "rest-near"), source, width, percent), "more")
-    by_set = classes.join(known.withColumnRenamed("node", "id"), "id", "left").select("set_id", F.coalesce("component", "id").alias("component"))
-    if more.limit(1).count():
-        part = lambda x, to: known.select(F.col("node").alias(x), F.col("component").alias(to))
-        joined = more.join(part("a", "x"), "a", "left").join(part("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
-        merged = shelf.put(components(joined, shelf, "all"), "merged").select(F.col("node").alias("component"), F.col("component").alias("whole"))
-        by_set = by_set.join(merged, "component", "left").select("set_id", F.coalesce("whole", "component").alias("component"))
-    by_set = shelf.put(by_set, "by-set")
+    classes = sketches.filter("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("c"))
+    # integers in the order of ids, so that originals come before their copies; written once, they are the same for all readers
+    classes = classes.select("set_id", "c.*").repartitionByRange("doc_id", "set_id").sortWithinPartitions("doc_id", "set_id")
+    classes = shelf.put(classes.select(F.monotonically_increasing_id().alias("id"), "*"), "classes")
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        return shelf.put(compared(shelf.put(close(pairs, classes, percent), f"{name}-near"), classes, source, width, percent), f"{name}-links")
+
+    keys = keyed(classes.select("id", "sig"))
+    lows = shelf.put(keys.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "low"), "lows")
+    shared = keys.join(lows, "key").groupBy("id", "low").agg(F.count(F.lit(1)).alias("n"))
+    best = F.struct(F.when(F.col("low") != F.col("id"), F.col("n")).otherwise(F.lit(0)), -F.col("low"))
+    anchors = shelf.put(shared.groupBy("id").agg(F.max_by("low", best).alias("anchor")), "anchors")
+    alone = classes.select("id", "sig", F.col("id").alias("component")).join(anchors, "id", "left").withColumn("anchor", F.coalesce("anchor", "id"))
+    first = linked(anchors.filter("id <> anchor").select(F.col("id").alias("a"), F.col("anchor").alias("b")), "first")
+    # classes that share no key with others are settled
+    labels = shelf.put(relabelled(alone.join(anchors, "id", "left_semi"), first, shelf, "one"), "labels1")
+
+    keys = keyed(labels.select("id", "sig", "component", "anchor"))
+    end = F.struct("id", "component")
+    ends = keys.groupBy("key").agg(F.min(end).alias("low"), F.max(end).alias("high"), F.min("component").alias("c"), F.max("component").alias("d"))
+    ends = shelf.put(ends.filter("c <> d").select("key", "low", "high"), "ends")
+    stars = keys.join(ends, "key").select("id", "component", "anchor", F.explode(F.array("low", "high")).alias("end"))
+    stars = stars.filter("component <> end.component AND anchor <> end.id").select(F.greatest("id", "end.id").alias("a"), F.least("id", "end.id").alias("b")).distinct()
+    second = linked(shelf.put(stars, "stars"), "second")
+    labels = shelf.put(relabelled(labels, second, shelf, "two"), "labels2")
+
+    third = linked(shelf.put(unsettled(labels, classes, source, shelf, width, percent), "rest"), "third")
+    labels = shelf.put(relabelled(labels, third, shelf, "three"), "labels3")
+
+    rows = classes.select("id", "set_id", "doc_id").join(labels.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    names = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    by_set = shelf.put(rows.join(names, "component").select("set_id", "component_id"), "by-set")
+    shelf.keep("sketches", "by-set")
     out = sketches.join(by_set, "set_id", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "text_sha256", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate components of all documents."""
-    return near_groups(documents(spark, sf_dir), Shelf(spark, "op6"))
+    """Near-duplicate components of all documents, by shingles of two words."""
+    return near_groups(documents(spark, sf_dir), Shelf(spark, "op6"), width=2).drop("text_sha256")
