@@ -3,6 +3,7 @@
 import re
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -19,8 +20,9 @@ def rows():
 
 
 def near_by_hand(docs):
-    """Smallest ids of components at 80 % of two-word shingles."""
-    sets = {i: set(zip(w := re.findall(r"\S+", t.lower()), w[1:])) for i, t in docs.items()}
+    """Smallest ids of components at 80 % of five-word shingles, the width that is asked of pipeline stages."""
+    words = {i: re.findall(r"\S+", t.lower()) for i, t in docs.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
     up = {i: i for i in docs}
 
     def root(x):
@@ -65,3 +67,22 @@ def test_empty(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_not_ids(spark):
+    """Stages decide by row: ids that repeat with other texts, null ids and texts, columns with clashing names."""
+    schema = "doc_id long, text string, _own_id string, _lang_pred string, text_sha256 string, component_id long"
+    table = [(5, "x same"), (5, "unique"), (9, "x same"), (None, "no id here"), (7, None), (8, ""), (None, "x same")]
+    docs = spark.createDataFrame([(i, t, "a", "b", "c", 1) for i, t in table], schema)
+    kept = sorted((r.doc_id or 0, r.text or "") for r in corpus_pipeline.exact(spark, docs, "").collect())
+    assert kept == [(0, "no id here"), (5, "unique"), (8, ""), (9, "x same")]
+    text = EN + " " + DE
+    table = [(5, text), (5, "unique words of its own"), (9, text + " end"), (None, text.upper()), (None, "no id here"), (7, None), (8, ""), (3, text + " too")]
+    docs = spark.createDataFrame([(i, t, "a", "b", "c", 1) for i, t in table], schema)
+    out = corpus_pipeline.near(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == [(0, "no id here"), (3, text + " too"), (5, "unique words of its own"), (7, ""), (8, "")]
+    labelled = docs.select("*", F.lit("en").alias("lang"), F.lit(0.5).alias("_lang_score"))
+    spoken = corpus_pipeline.language(spark, labelled, "")
+    assert spoken.columns == labelled.columns and spoken.filter("text IS NULL OR text = ''").count() == 0
+    assert spoken.filter("_lang_pred <> 'b'").count() == 0
