@@ -118,12 +118,12 @@ def defined_and_referred(c: Corpus) -> DataFrame:
 
 
 def unreferenced_requirements(c: Corpus) -> DataFrame:
-    """Keywords that tier 0 defines and no other section mentions or traces; at the first definition."""
+    """Keywords that tier 0 defines and no other section mentions or traces; for the first file that defines them."""
     own = _defined(c)
     top = own.join(c.documents.filter("tier_num = 0").select("path"), "path", "left_semi")
     first = top.groupBy("keyword").agg(F.min(F.struct("path", "line_start")).alias("at")).select("keyword", "at.*")
     used = c.keywords.filter("kind IN ('mention', 'traced')").join(own, ["path", "section_id", "keyword"], "left_anti")
-    return _issues(first.join(used.select("keyword"), "keyword", "left_anti"), "Traceability", "ERROR", "TRACE-UNREFERENCED-REQUIREMENT", F.concat(F.lit("Never referred to: "), "keyword"), "line_start")
+    return _issues(first.join(used.select("keyword"), "keyword", "left_anti"), "Traceability", "ERROR", "TRACE-UNREFERENCED-REQUIREMENT", F.concat(F.lit("Never referred to: "), "keyword"), F.lit(1))
 
 
 def definitions_without_marker(c: Corpus) -> DataFrame:
@@ -134,8 +134,11 @@ def definitions_without_marker(c: Corpus) -> DataFrame:
 
 def duplicate_definitions(c: Corpus) -> DataFrame:
     """Keywords with two definitions or more; at the second."""
-    ranked = _defined(c).withColumn("n", F.row_number().over(Window.partitionBy("keyword").orderBy("path", "line_start")))
-    return _issues(ranked.filter("n = 2"), "Consistency", "ERROR", "CONSIST-DUPLICATE-DEFINITION", F.concat(F.lit("Defined again: "), "keyword"), "line_start")
+    # two minima, each pre-aggregated, in place of a rank within a keyword that many files may define
+    at = F.struct("path", "line_start")
+    first = _defined(c).groupBy("keyword").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    later = _defined(c).join(first, "keyword").filter(at > F.col("first")).groupBy("keyword").agg(F.min(at).alias("at"))
+    return _issues(later.select("keyword", "at.*"), "Consistency", "ERROR", "CONSIST-DUPLICATE-DEFINITION", F.concat(F.lit("Defined again: "), "keyword"), "line_start")
 
 
 def reverse_links(c: Corpus) -> DataFrame:
