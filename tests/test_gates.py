@@ -22,7 +22,7 @@ def test_checks(spark):
     got = {(r.rule_code, r.path, r.line) for r in gates.run_checks(corpus(spark)).collect()}
     assert got == {
         ("FMT-BROKEN-LINK", "req/a.md", 3), ("FMT-BROKEN-ANCHOR", "design/d.md", 4), ("FMT-EMPTY-MERMAID", "parts/x.md", 4),
-        ("TRACE-UNDEFINED-KEYWORD", "design/d.md", 2), ("TRACE-UNREFERENCED-REQUIREMENT", "req/a.md", 4),
+        ("TRACE-UNDEFINED-KEYWORD", "design/d.md", 2), ("TRACE-UNREFERENCED-REQUIREMENT", "req/a.md", 1),
         ("TRACE-DEFINITION-WITHOUT-INLINE-MARKER", "req/a.md", 4), ("CONSIST-DUPLICATE-DEFINITION", "req/a.md", 1),
         ("HIERARCHY-REVERSE-DEPENDENCY", "req/a.md", 3), ("HIERARCHY-REVERSE-KEYWORD-REF", "design/d.md", 2),
         ("EVID-WIT-UNDECLARED", "design/d.md", 1), ("EVID-DECLARED-FILE-MISSING", "parts/x.md", 1),
