@@ -1,6 +1,7 @@
 """Command line: checks a folder of Markdown files or source files and prints issues.
 
-    python -m lintweave.cli check-doc ROOT [--tier PATTERN=NAME ...] [--exclude GLOB ...]
+    python -m lintweave.cli check-doc ROOT [--tier PATTERN=NAME ...] [--exclude GLOB ...] [--symbol PATTERN ...] [--stale PATTERN ...]
+    python -m lintweave.cli report ROOT (the same options; a Markdown report)
     python -m lintweave.cli check-src ROOT [--namespace NAME]
     python -m lintweave.cli next-id ROOT
     python -m lintweave.cli graph ROOT [--max-nodes N]
@@ -18,7 +19,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintweave.operators import code_rules, gates, idindex, markdown, termmine
+from lintweave.operators import code_rules, drift, evidence, gates, idindex, markdown, report, termmine
+from lintweave.plans.report import GATES
 from lintweave.sources.files import read_texts
 
 
@@ -50,11 +52,13 @@ def graph_edges(c: gates.Corpus) -> DataFrame:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="lintweave", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    parser.add_argument("command", choices=("check-doc", "check-src", "next-id", "graph", "build", "format-doc"))
+    parser.add_argument("command", choices=("check-doc", "check-src", "next-id", "graph", "build", "format-doc", "report"))
     parser.add_argument("root")
     parser.add_argument("--tier", action="append", default=[])
     parser.add_argument("--exclude", action="append", default=[])
     parser.add_argument("--namespace")
+    parser.add_argument("--symbol", action="append", default=[], help="a pattern of symbols whose values must agree")
+    parser.add_argument("--stale", action="append", default=[], help="a pattern that no line may match")
     parser.add_argument("--max-nodes", type=int, default=150)
     args = parser.parse_args(argv)
     spark = spark or SparkSession.builder.appName("lintweave").getOrCreate()
@@ -64,9 +68,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         cpp = read_texts(spark, root, "*.{c,cc,cpp,h,hpp}", args.exclude)
         return int(_show(found.unionByName(code_rules.cpp_rules(cpp, args.namespace)).orderBy("path", "line", "rule")))
     c = _corpus(spark, args)
-    if args.command == "check-doc":
+    if args.command in ("check-doc", "report"):
         ids = idindex.issues(idindex.tokens(c.lines)).select(F.lit("Identifier").alias("gate"), "severity", "path", "line", "rule_code", F.col("token").alias("message"))
-        return int(_show(gates.run_checks(c).drop("ord").unionByName(ids).orderBy("gate", "path", "line", "rule_code", "message")))
+        more = {"benchmark": evidence.benchmark_missing, "artifacts": evidence.dangling_artifacts}
+        if args.symbol:
+            more["drift"] = lambda c: drift.symbol_drift(c, args.symbol)
+        if args.stale:
+            more["stale"] = lambda c: gates.stale_values(c, [(f"S{i + 1}", p, p) for i, p in enumerate(args.stale)])
+        found = gates.run_checks(c, more=more).drop("ord").unionByName(ids)
+        if args.command == "report":
+            print(report.markdown_report(found, GATES), end="")
+            return 0
+        return int(_show(found.orderBy("gate", "path", "line", "rule_code", "message")))
     if args.command == "next-id":
         _show(idindex.next_ids(idindex.tokens(c.lines)).orderBy("family", "series"))
     elif args.command == "graph":

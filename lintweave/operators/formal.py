@@ -62,3 +62,29 @@ def mutation(initial: DataFrame, transitions: DataFrame, violations: DataFrame)
     rows = models.join(hit(transitions.filter("NOT guarded"), "with_guards"), "model", "left").join(hit(transitions, "without_guards"), "model", "left").fillna(False)
     verdict = F.when(F.col("with_guards"), "VIOLATED").when(F.col("without_guards"), "EFFECTIVE").otherwise("USELESS")
     return rows.withColumn("verdict", verdict)
+
+
+def backing(documents: DataFrame, models: DataFrame, folder: str = "formal") -> DataFrame:
+    """(path, model) of documents (path): the models (model, backs) that name the document, else those of the nearest
+    folder of that name, beside the document or beside one of the folders that it lies in.
+
+    Models whose file name begins with an underscore aren't any. Folders are found by an equi-join on each document's own
+    folders, of which the deepest that has models counts.
+    """
+    known = models.filter(~F.substring_index("model", "/", -1).startswith("_"))
+    named = known.select("model", F.explode("backs").alias("path")).join(documents.select("path"), "path").select("path", "model").distinct()
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.size(parts) - 1, F.lit(0)), lambda i: F.array_join(F.concat(F.slice(parts, 1, i), F.array(F.lit(folder))), "/"))
+    asked = documents.select("path").join(named.select("path").distinct(), "path", "left_anti").select("path", F.explode(above).alias("own"))
+    inside = known.select("model", F.regexp_replace("model", "/?[^/]*$", "").alias("own")).filter(F.substring_index("own", "/", -1) == folder)
+    near = asked.join(inside.select("own").distinct(), "own").groupBy("path").agg(F.max_by("own", F.size(F.split("own", "/"))).alias("own"))
+    return named.unionByName(near.join(inside, "own").select("path", "model"))
+
+
+def ambiguous_backing(found: DataFrame, models: DataFrame) -> DataFrame:
+    """(path, folder, n_documents) of documents that share a folder of models with others and that no model there names."""
+    folder = F.regexp_replace("model", "/?[^/]*$", "")
+    claims = found.select("path", folder.alias("folder")).distinct()
+    shared = claims.groupBy("folder").agg(F.count(F.lit(1)).alias("n_documents")).filter("n_documents > 1")
+    named = models.select(folder.alias("folder"), F.explode("backs").alias("path")).distinct()
+    return claims.join(shared, "folder").join(named, ["path", "folder"], "left_anti").select("path", "folder", "n_documents")

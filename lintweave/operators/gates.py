@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lintweave.functions.text import anchor_slug
 
-from . import markdown
+from . import markdown, typos
 
 
 def _issues(rows: DataFrame, gate: str, severity: str, rule: str, message: Column, line: str | Column = "line_no") -> DataFrame:
@@ -177,11 +177,23 @@ def stale_values(c: Corpus, rules: list[tuple[str, str, str]]) -> DataFrame:
     return _issues(rows, "Consistency", "ERROR", "CONSIST-STALE-VALUE", F.col("why"))
 
 
+def typo_variants(c: Corpus, most: int = 50) -> DataFrame:
+    """Words that may be misspelled forms of others: the first pairs of Katakana words and of English ones."""
+    placed = markdown.with_section(c.lines.select("path", "line_no", "line", "inside", "is_fence"), c.sections)
+    parts = []
+    for pattern, pairs in ((typos.KATAKANA, typos.katakana_variants), (typos.ENGLISH, typos.english_variants)):
+        words = typos.words_of(placed, pattern)
+        found = typos.variants(words, typos.first_variants(pairs(words), most))
+        said = F.concat(F.lit("May be a variant: "), "word", F.lit(" and "), "other", F.lit(" ("), "other_path", F.lit(":"), F.col("other_line").cast("string"), F.lit(")"))
+        parts.append(_issues(found, "Format", "WARNING", "FMT-LEVENSHTEIN-TYPO", said, "line_start"))
+    return parts[0].unionByName(parts[1])
+
+
 CHECKS = {
     f.__name__: f
     for f in (
         broken_links, broken_anchors, file_link_format, empty_mermaid, undefined_keywords, defined_and_referred, unreferenced_requirements,
-        definitions_without_marker, duplicate_definitions, reverse_links, reverse_keywords, missing_evidence,
+        definitions_without_marker, duplicate_definitions, reverse_links, reverse_keywords, missing_evidence, typo_variants,
     )
 }
 

@@ -79,3 +79,44 @@ def sampled(rows: DataFrame, key: str, order: str, most: int = 4) -> DataFrame:
     n = rows.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
     at = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: half_even(k * (F.col("_n") - 1) / (most - 1)))
     return n.filter((F.col("_n") <= most) | F.array_contains(at, F.col("_i").cast("int"))).drop("_i", "_n")
+
+
+def variance(judged: DataFrame, least: float = 0.7, backend: str | None = None) -> DataFrame:
+    """Pairs of terms (term_a, term_b, is_variance, confidence, backend) judged to be variants, surely enough."""
+    found = judged.filter(F.col("is_variance") & (F.col("confidence") >= least))
+    return found.filter(F.col("backend") == backend) if backend else found
+
+
+def unjudged(pairs: DataFrame, judged: DataFrame, backend: str, most: int | None = None) -> DataFrame:
+    """Pairs (term_a, term_b, similarity) that a backend hasn't judged, in either order; the most similar first, at most so many."""
+    ends = lambda df: df.select("*", F.least("term_a", "term_b").alias("_x"), F.greatest("term_a", "term_b").alias("_y"))
+    left = ends(pairs).join(ends(judged.filter(F.col("backend") == backend)).select("_x", "_y"), ["_x", "_y"], "left_anti").drop("_x", "_y")
+    return left if most is None else left.orderBy(F.desc("similarity"), "term_a", "term_b").limit(most)
+
+
+def fitted(rows: DataFrame, context: str, rest: str, budget: int = 56 * 1024, step: int = 100) -> DataFrame:
+    """rows with the context cut from its end, by so many characters at a time, until it and the rest fit a budget of UTF-8 bytes.
+
+    The bytes of each stretch are counted once, from the end; the number of stretches that go is the first that suffices.
+    An empty context goes with a rest that is too long by itself.
+    """
+    n, size = F.length(context), F.octet_length
+    ends = F.transform(F.sequence(F.lit(0), F.ceil(n / step).cast("int")), lambda i: F.greatest(F.lit(0), n - i * step))
+    start = F.struct((size(context) + size(rest)).cast("long").alias("bytes"), n.alias("keep"))
+
+    def cut(acc: Column, end: Column) -> Column:
+        gone = size(F.substring(context, end + 1, acc["keep"] - end))
+        return F.when(acc["bytes"] <= budget, acc).otherwise(F.struct((acc["bytes"] - gone).alias("bytes"), end.alias("keep")))
+
+    left = F.aggregate(ends, start, cut)["keep"]
+    return rows.withColumn(context, F.substring(context, F.lit(1), left))
+
+
+def covered(edges: DataFrame) -> DataFrame:
+    """(item, files): the files that an item's subgraph touches, of (item, path), in order."""
+    return edges.distinct().groupBy("item").agg(F.array_sort(F.collect_list("path")).alias("files"))
+
+
+def riskiest(candidates: DataFrame, least_refs: int = 2, most: int = 15) -> DataFrame:
+    """The candidates (item, refs, ...) with the most references, at least so many: a report of a fixed length."""
+    return candidates.filter(F.col("refs") >= least_refs).orderBy(F.desc("refs"), "item").limit(most)

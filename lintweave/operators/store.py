@@ -15,8 +15,11 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None =
     return kept.unionByName(new)
 
 
-def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of new whose key isn't in old are added; one for each key."""
+def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Rows of new whose key isn't in old are added; of those that share a key the first in order, without one any."""
+    if order:
+        rest = [x for x in new.columns if x not in (*keys, order)]
+        new = new.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_row")).select(*keys, *(F.col(f"_row.{x}").alias(x) for x in rest))
     fresh = new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti")
     return old.unionByName(fresh)
 
@@ -38,3 +41,13 @@ def missing_or_stale(rows: DataFrame, stored: DataFrame, key: str, digest: str)
     """Rows without a stored one, or whose digest differs from the stored one's."""
     known = stored.select(key, F.col(digest).alias("_stored"))
     return rows.join(known, key, "left").filter(F.col("_stored").isNull() | (F.col("_stored") != F.col(digest))).drop("_stored")
+
+
+def replace(old: DataFrame, new: DataFrame) -> DataFrame:
+    """All rows of new, in the columns and types of old."""
+    return new.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in old.schema))
+
+
+def cleared(old: DataFrame) -> DataFrame:
+    """No rows, the same columns."""
+    return old.limit(0)

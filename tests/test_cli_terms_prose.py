@@ -13,6 +13,13 @@ def test_cli(spark, tmp_path, capsys):
     code, out = run("check-doc", str(tmp_path))
     assert code == 1 and "FMT-BROKEN-LINK\tLink target is missing: gone.md" in out
     assert run("check-doc", str(tmp_path), "--exclude", "**/c.md")[0] == 0
+    (tmp_path / "c.md").write_text("[b.md](b.md) RATE_A = 0x10, RATE_B = 3 and counter conntes\n\nRATE_A = 17, see lost.py, counter countes\n")
+    code, out = run("check-doc", str(tmp_path), "--symbol", "RATE_[A-Z]", "--stale", "RATE_B")
+    assert code == 1 and "RATE_A has several values: 16 @ c.md:1; 17 @ c.md:3" in out and "Missing: lost.py" in out and "S1: RATE_B" in out
+    assert "FMT-LEVENSHTEIN-TYPO\tMay be a variant: countes and counter (c.md:1)" in out
+    code, out = run("report", str(tmp_path), "--symbol", "RATE_[A-Z]")
+    assert code == 0 and "| Consistency | 1 | 0 | FAIL |" in out and "| Evidence | EVID-DANGLING-ARTIFACT-REF" not in out and "| Evidence | ERROR | EVID-DANGLING-ARTIFACT-REF | 1 |" in out
+    (tmp_path / "c.md").unlink()
     assert run("next-id", str(tmp_path))[1] == "TEST\tAA\t02\n"
     assert '"sec:req/a.md#Goal" -->|defines| "item:REQ_A"' in run("graph", str(tmp_path))[1]
     assert run("check-src", str(tmp_path))[0] == 1
