@@ -245,8 +245,12 @@ def unsettled(labels: DataFrame, classes: DataFrame, source: DataFrame, shelf: S
     names = {"a": "o", "x": "z", "n": "m", "d": "e", "at": "place"}
 
     # two kinds of prefix, as the stray of a pair and as the other one
-    def prefixes(which: str, upto: str, right: bool = False) -> DataFrame:
-        cut = held.filter(which).filter(F.col(upto) > F.col("alone")).select("b", "a", "x", "n", "d", "alone", F.posexplode(F.slice("order.shingle", F.lit(1), F.col(upto) - F.col("alone"))).alias("at", "shingle"))
+    def prefixes(which: str, upto: str, right: str = "") -> DataFrame:
+        cut = held.filter(which).filter(F.col(upto) > F.col("alone"))
+        if right:
+            # hubs that have something to be joined with
+            cut = cut.join(held.filter(right).select("b").distinct(), "b", "left_semi")
+        cut = cut.select("b", "a", "x", "n", "d", "alone", F.posexplode(F.slice("order.shingle", F.lit(1), F.col(upto) - F.col("alone"))).alias("at", "shingle"))
         cut = cut.withColumn("at", F.col("at") + F.col("alone")).drop("alone")
         return cut.withColumnsRenamed(names) if right else cut
 
@@ -257,8 +261,8 @@ def unsettled(labels: DataFrame, classes: DataFrame, source: DataFrame, shelf: S
         found = left.join(right, ["b", "shingle"]).filter((F.col("a") != F.col("o")) & (F.col("x") != F.col("z")) & enough & sized)
         return found.select(F.greatest("a", "o").alias("a"), F.least("a", "o").alias("b"))
 
-    strays = met(prefixes("minor AND stray", "as_stray"), prefixes("true", "as_other", right=True))
-    others = met(prefixes("minor AND NOT stray", "as_other"), prefixes("stray", "as_stray", right=True))
+    strays = met(prefixes("minor AND stray", "as_stray"), prefixes("true", "as_other", right="minor AND stray AND as_stray > alone"))
+    others = met(prefixes("minor AND NOT stray", "as_other"), prefixes("stray", "as_stray", right="minor AND NOT stray AND as_other > alone"))
     return strays.unionByName(others).distinct()
 
 
