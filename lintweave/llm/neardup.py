@@ -25,7 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Shelf, documents, id_text, slices
@@ -240,29 +240,26 @@ def unsettled(labels: DataFrame, classes: DataFrame, source: DataFrame, shelf: S
     held = shelf.put(held, "details")
     each = held.select("a", "b", F.explode("apart").alias("shingle"))
     often = each.groupBy("b", "shingle").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    order = each.join(often, ["b", "shingle"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("c", "shingle"))).alias("order"))
-    held = shelf.put(held.drop("apart").join(order, ["a", "b"]).withColumn("alone", F.col("d").cast("int") - F.size("order")), "ordered")
+    # places in the order of a and b, whose first shingles are those that no other class has at the hub
+    own = Window.partitionBy("a", "b")
+    ranked = each.join(often, ["b", "shingle"]).select("a", "b", "shingle", F.row_number().over(own.orderBy("c", "shingle")).alias("nth"), F.count(F.lit(1)).over(own).alias("m"))
+    ranked = ranked.join(held.drop("apart"), ["a", "b"]).withColumn("at", (F.col("d") - F.col("m") + F.col("nth") - 1).cast("int")).drop("m", "nth")
+    ranked = shelf.put(ranked.filter("at < greatest(as_stray, as_other)"), "ranked")
     names = {"a": "o", "x": "z", "n": "m", "d": "e", "at": "place"}
 
     # two kinds of prefix, as the stray of a pair and as the other one
-    def prefixes(which: str, upto: str, right: str = "") -> DataFrame:
-        cut = held.filter(which).filter(F.col(upto) > F.col("alone"))
-        if right:
-            # hubs that have something to be joined with
-            cut = cut.join(held.filter(right).select("b").distinct(), "b", "left_semi")
-        cut = cut.select("b", "a", "x", "n", "d", "alone", F.posexplode(F.slice("order.shingle", F.lit(1), F.col(upto) - F.col("alone"))).alias("at", "shingle"))
-        cut = cut.withColumn("at", F.col("at") + F.col("alone")).drop("alone")
-        return cut.withColumnsRenamed(names) if right else cut
+    def prefixes(which: str, upto: str) -> DataFrame:
+        return ranked.filter(which).filter(F.col("at") < F.col(upto)).select("b", "shingle", "a", "x", "n", "d", "at")
 
     enough = two * (F.least(F.col("d") - F.col("at"), F.col("e") - F.col("place"))) >= (100 + percent) * (F.col("d") + F.col("e")) - r * (F.col("n") + F.col("m"))
     sized = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
 
     def met(left: DataFrame, right: DataFrame) -> DataFrame:
-        found = left.join(right, ["b", "shingle"]).filter((F.col("a") != F.col("o")) & (F.col("x") != F.col("z")) & enough & sized)
+        found = left.join(right.withColumnsRenamed(names), ["b", "shingle"]).filter((F.col("a") != F.col("o")) & (F.col("x") != F.col("z")) & enough & sized)
         return found.select(F.greatest("a", "o").alias("a"), F.least("a", "o").alias("b"))
 
-    strays = met(prefixes("minor AND stray", "as_stray"), prefixes("true", "as_other", right="minor AND stray AND as_stray > alone"))
-    others = met(prefixes("minor AND NOT stray", "as_other"), prefixes("stray", "as_stray", right="minor AND NOT stray AND as_other > alone"))
+    strays = met(prefixes("minor AND stray", "as_stray"), prefixes("true", "as_other"))
+    others = met(prefixes("minor AND NOT stray", "as_other"), prefixes("stray", "as_stray"))
     return strays.unionByName(others).distinct()
 
 
