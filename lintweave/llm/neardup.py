@@ -297,8 +297,9 @@ def near_groups(docs: DataFrame, shelf: Shelf, id_col: str = "doc_id", text_col:
     third = linked(shelf.put(unsettled(labels, classes, source, shelf, width, percent), "rest"), "third")
     labels = shelf.put(relabelled(labels, third, shelf, "three"), "labels3")
 
-    rows = classes.select("id", "set_id", "doc_id").join(labels.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    names = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    rows = classes.select("id", "set_id").join(labels.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # a component is the smallest of its classes, which has its smallest doc_id
+    names = classes.select(F.col("id").alias("component"), F.col("doc_id").alias("component_id"))
     by_set = shelf.put(rows.join(names, "component").select("set_id", "component_id"), "by-set")
     shelf.keep("sketches", "by-set")
     out = sketches.join(by_set, "set_id", "left")
