@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lintweave.functions.text import anchor_slug
 
-from . import markdown, typos
+from . import invariants, markdown, typos
 
 
 def _issues(rows: DataFrame, gate: str, severity: str, rule: str, message: Column, line: str | Column = "line_no") -> DataFrame:
@@ -170,11 +170,10 @@ def missing_evidence(c: Corpus) -> DataFrame:
     return reduce(DataFrame.unionByName, [*parts, _issues(gone, "Evidence", "ERROR", "EVID-DECLARED-FILE-MISSING", F.concat(F.lit("Missing: "), "value"), F.lit(1))])
 
 
-def stale_values(c: Corpus, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """Lines that match a forbidden pattern: rules are (id, pattern, reason), a bounded configuration."""
-    hit = F.array(*(F.when(F.col("line").rlike(p), F.lit(f"{i}: {why}")) for i, p, why in rules))
-    rows = c.lines.select("path", "line_no", F.explode(F.filter(hit, lambda x: x.isNotNull())).alias("why"))
-    return _issues(rows, "Consistency", "ERROR", "CONSIST-STALE-VALUE", F.col("why"))
+def stale_values(c: Corpus, rules: list) -> DataFrame:
+    """Lines that hold what an invariant forbids in their file: rules are invariants, or (id, pattern, reason) for all files."""
+    known = [r if isinstance(r, invariants.Rule) else invariants.Rule(r[0], (r[1],), reason=r[2]) for r in rules]
+    return _issues(invariants.violations(c.files, known), "Consistency", "ERROR", "CONSIST-STALE-VALUE", invariants.said(known), "line")
 
 
 def typo_variants(c: Corpus, most: int = 50) -> DataFrame:

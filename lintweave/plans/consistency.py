@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintweave.operators import invariants
 from lintweave.operators.lines import lines_of
 from lintweave.sources.tables import table
 
@@ -17,8 +18,10 @@ def _long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dup_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines in two documents or more; reported at the second."""
     per = _long_lines(spark, sf_dir).groupBy("line", "doc_id").agg(F.min("line_no").alias("line_no"))
-    ranked = per.withColumn("n", F.row_number().over(Window.partitionBy("line").orderBy("doc_id")))
-    return ranked.filter("n = 2").select("doc_id", "line_no", F.sha2("line", 256).alias("sha256"))
+    # two minima, each pre-aggregated, in place of a rank within a line that very many documents may have
+    first = per.groupBy("line").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    later = per.join(first, "line").filter("doc_id > first").groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
+    return later.select("at.doc_id", "at.line_no", F.sha2("line", 256).alias("sha256"))
 
 
 def keyword_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +39,8 @@ def stale_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that documents contain.
 
     Words 2 to 4 of a passage are whole words wherever it stands, so they are its key in an equi-join with the three-word
-    runs of documents; the passage itself is looked for only where its key is.
+    runs of documents; the passage itself is looked for only where its key is. Passages of fewer than five words have no
+    such key: an automaton looks for all of them at once.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     words = lambda c: F.split(c, r"\s+")
@@ -45,13 +49,15 @@ def stale_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = docs.select("doc_id", words("text").alias("w"))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 2)), lambda i: F.concat_ws(" ", F.slice("w", i, 3)))
     near = w.select("doc_id", F.explode(F.array_distinct(runs)).alias("key")).join(keys, "key").select("doc_id", "item_id").distinct()
-    return near.join(docs, "doc_id").join(rules, "item_id").filter(F.contains("text", "passage")).select("doc_id", "item_id")
+    found = near.join(docs, "doc_id").join(rules, "item_id").filter(F.contains("text", "passage")).select("doc_id", "item_id")
+    short = invariants.contained_rules(docs, rules.filter(F.size(words("passage")) < 5), "item_id", "passage")
+    return found.unionByName(short.withColumnRenamed("needle", "item_id"))
 
 
 def symbol_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names with several brands: values by name, at most three places for each."""
-    per = table(spark, sf_dir, "part").groupBy("p_name", "p_brand").agg(F.slice(F.array_sort(F.collect_set("p_partkey")), 1, 3).alias("places"))
-    own = per.groupBy("p_name").agg(F.count(F.lit(1)).alias("n_values"), F.min("p_brand").alias("first_value"), F.min(F.element_at("places", 1)).alias("first_place"))
+    """Part names with several brands: how many, the first brand and the first place."""
+    per = table(spark, sf_dir, "part").groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("place"))
+    own = per.groupBy("p_name").agg(F.count(F.lit(1)).alias("n_values"), F.min("p_brand").alias("first_value"), F.min("place").alias("first_place"))
     return own.filter("n_values >= 2")
 
 

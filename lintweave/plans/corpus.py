@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintweave.cli import graph_edges
-from lintweave.operators import drift, evidence, gates, markdown
+from lintweave.operators import drift, evidence, gates, invariants, markdown
 from lintweave.sources.tables import table
 
 TIERS = [("^docs/t0/", "0"), ("^docs/t1/", "1"), ("^docs/t2/", "2")]
@@ -95,6 +95,19 @@ def md_stale(c: gates.Corpus) -> DataFrame:
     return gates.stale_values(c, [("S1", r"needs \{ORD_[0-9]*7\}", "seven"), ("S2", r"^No def", "none")])
 
 
+INVARIANTS = [
+    invariants.Rule("I1", (r"needs \{ORD_\d*7\}", "o[0-9]*3\.md"), ("docs/t1/*", "docs/t0/o1*"), ("docs/t?/o*4.md",), "ORD_1", "moved"),
+    invariants.Rule("I2", ("^No def", "(?i)LINKS$"), ("*5.md",)),
+    invariants.Rule("I3", ("LIMIT_[0-9]+ = (17|2)",), (), ("docs/t[02]/*",), None, "old limits"),
+    invariants.Rule("I4", ("nowhere at all",)),
+]
+
+
+def md_invariants(c: gates.Corpus) -> DataFrame:
+    """Lines that hold what invariants forbid in their files: globs, exclusions, several patterns, one that ignores case."""
+    return gates.stale_values(c, INVARIANTS)
+
+
 def md_drift(c: gates.Corpus) -> DataFrame:
     """Limits with several values."""
     return drift.symbol_drift(c, [r"LIMIT_[0-9]+"])
@@ -109,7 +122,7 @@ _GATES = {
     "md_broken_links": gates.broken_links, "md_broken_anchors": gates.broken_anchors, "md_link_format": gates.file_link_format, "md_empty_mermaid": gates.empty_mermaid,
     "md_undefined": gates.undefined_keywords, "md_overlap": gates.defined_and_referred, "md_unreferenced": gates.unreferenced_requirements, "md_no_marker": gates.definitions_without_marker,
     "md_duplicate_definitions": gates.duplicate_definitions, "md_reverse_links": gates.reverse_links, "md_reverse_keywords": gates.reverse_keywords, "md_missing_evidence": gates.missing_evidence,
-    "md_stale": md_stale, "md_drift": md_drift, "md_benchmark": md_benchmark, "md_dangling": evidence.dangling_artifacts,
+    "md_stale": md_stale, "md_invariants": md_invariants, "md_drift": md_drift, "md_benchmark": md_benchmark, "md_dangling": evidence.dangling_artifacts,
 }
 
 
@@ -191,3 +204,13 @@ ORACLE_SQL = {k: f"WITH {w} {q}" for k, (w, q) in _RULES.items()} | {
     "md_check_doc": f"SELECT rule_code, severity, count(*) AS n, arg_min(path, (path, line)) AS first_path, arg_min(line, (path, line)) AS first_line FROM ({_ALL}) GROUP BY ALL",
     "md_exit": f"WITH {_L} SELECT count(*) FILTER (key = '') + count(*) FILTER (k % 8 = 0) AS errors, count(*) FILTER (k % 9 = 0) AS warnings, CAST(0 AS BIGINT) AS infos, CAST(1 AS INTEGER) AS exit_code FROM l",
 }
+# the text's lines and the rules' patterns, globs as LIKE
+_TEXT = ORACLE_SQL["md_documents"].split("k % 6 = 0 AS tagged, ")[1].split(" AS text FROM f")[0]
+ORACLE_SQL["md_invariants"] = (
+    f"WITH {_F}, x AS (SELECT path, string_split({_TEXT}, chr(10)) AS ls FROM f), l AS (SELECT path, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM x), m AS ("
+    + r"""SELECT path, n, '[I1] superseded: needs \{ORD_\d*7\}, in its place: ORD_1 (moved)' AS message FROM l WHERE regexp_matches(line, 'needs \{ORD_[0-9]*7\}') AND (path LIKE 'docs/t1/%' OR path LIKE 'docs/t0/o1%') AND path NOT LIKE 'docs/t_/o%4.md'
+    UNION ALL SELECT path, n, '[I1] superseded: o[0-9]*3\.md, in its place: ORD_1 (moved)' FROM l WHERE regexp_matches(line, 'o[0-9]*3\.md') AND (path LIKE 'docs/t1/%' OR path LIKE 'docs/t0/o1%') AND path NOT LIKE 'docs/t_/o%4.md'
+    UNION ALL SELECT path, n, '[I2] superseded: ^No def' FROM l WHERE starts_with(line, 'No def') AND path LIKE '%5.md' UNION ALL SELECT path, n, '[I2] superseded: (?i)LINKS$' FROM l WHERE lower(line) LIKE '%links' AND path LIKE '%5.md'
+    UNION ALL SELECT path, n, 'I3: old limits' FROM l WHERE regexp_matches(line, 'LIMIT_[0-9]+ = (17|2)') AND path NOT LIKE 'docs/t0/%' AND path NOT LIKE 'docs/t2/%')"""
+    + _issue("ERROR", "CONSIST-STALE-VALUE", "n", "message", "m")
+)
