@@ -1,30 +1,117 @@
-"""Exact cosine joins by blocks."""
+"""Exact cosine joins, pruned by angles to pivots."""
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lintweave.sources.work import Work
+
 #: Vectors of a block; a task multiplies two blocks.
 BLOCK_ROWS = 2048
+#: Pivots at most, and the vectors that they are chosen among (the ones with the smallest hashes); neither changes results.
+PIVOTS = 32
+SAMPLE = 2000
+#: Angles are compared with this much to spare, more than rounding can move them.
+SLACK = 1e-6
+
+
+@dataclass
+class Blocks:
+    """rows (id, vector, own block), summary (own, dim, cell, lo, hi) and the pairs (i, j) of blocks that may hold a pair."""
+
+    rows: DataFrame
+    summary: DataFrame
+    pairs: DataFrame
 
 
-def cosine_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "vector", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b, similarity) with a < b and cosine >= threshold; null, empty and zero vectors are similar to nothing.
+def _pivots(sample: list, most: int) -> dict[int, np.ndarray]:
+    """Of each length, vectors that lie far from each other: each the farthest from those before it."""
+    out = {}
+    for dim in {len(v) for v in sample}:
+        x = np.array([v for v in sample if len(v) == dim])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        chosen, nearest = [0], np.arccos(np.clip(x @ x[0], -1, 1))
+        while len(chosen) < min(most, len(x)) and nearest.max() > SLACK:
+            chosen.append(int(nearest.argmax()))
+            nearest = np.minimum(nearest, np.arccos(np.clip(x @ x[chosen[-1]], -1, 1)))
+        out[dim] = x[chosen]
+    return out
 
-    Rows are dealt to blocks of bounded size by their hash and each pair of blocks is one task's matrix product, so that
-    only pairs over the threshold become rows. A row is sent to as many tasks as there are blocks: this is the exact
-    form, for the bounded sets of terms and sections that are compared.
+
+def blocks(vectors: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "vector", block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS) -> Blocks:
+    """Deals vectors into blocks of few rows that lie near each other, and finds which blocks must be compared.
+
+    A block holds vectors of one length whose nearest pivot is the same, at about the same angle; larger ones are split by
+    hash. Angles are a metric: where a pivot's angles to two blocks are further apart than the threshold's angle, no pair
+    between them can reach it. Blocks meet on bins of their angles to the pivots, an equi-join, then all pivots are tried.
     """
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).filter("size(vector) > 0")
-    blocks = max(1, -(-rows.count() // block_rows))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    others = F.sequence(F.lit(0), F.lit(blocks - 1))
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(others)).select(
-        F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "vector"
-    )
+    work = Work(vectors.sparkSession, "cosine")
+    v = F.col("vector")
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).filter((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & F.exists(v, lambda x: x != 0))
+    rows = rows.filter(F.col("id").isNotNull())
+    n = -(-rows.count() // block_rows)
+    angle = math.acos(max(-1.0, min(1.0, threshold)))
+    if n <= 1:
+        own = work.put(rows.withColumn("own", F.concat_ws("/", F.size(v).cast("string"), F.lit("0"))))
+        ones = own.select("own").distinct()
+        return Blocks(own, ones, ones.select(F.col("own").alias("i"), F.col("own").alias("j")))
+    few = rows.orderBy(F.xxhash64("id"), "id").select("vector").limit(SAMPLE).collect()
+    centres = _pivots([r.vector for r in few], min(pivots, 4 * n))
+    k = max(map(len, centres.values()))
+
+    @F.pandas_udf("array<double>")
+    def angles(given: pd.Series) -> pd.Series:
+        out = np.zeros((len(given), k))
+        lengths = given.map(len).to_numpy()
+        for dim, c in centres.items():
+            at = np.nonzero(lengths == dim)[0]
+            if len(at):
+                x = np.stack(given.iloc[at].to_numpy())
+                x = x / np.abs(x).max(axis=1, keepdims=True)
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                out[at, : len(c)] = np.arccos(np.clip(x @ c.T, -1, 1))
+        return pd.Series(list(out))
+
+    count = F.create_map(*(F.lit(x) for dim, c in centres.items() for x in (dim, len(c))))
+    known = rows.withColumn("d", angles("vector")).withColumn("dim", F.size("vector")).withColumn("own_d", F.slice("d", F.lit(1), F.coalesce(count[F.col("dim")], F.lit(1))))
+    cell = (F.array_position("own_d", F.array_min("own_d")) - 1).cast("int")
+    ring = F.floor(F.array_min("own_d") / F.lit(max(angle / 2, math.pi / 64))).cast("int")
+    known = work.put(known.withColumn("cell", cell).withColumn("ring", ring).drop("own_d"))
+    group = ["dim", "cell", "ring"]
+    parts = known.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("parts"))
+    dealt = known.join(parts, group).withColumn("own", F.concat_ws("/", *group, F.pmod(F.xxhash64("id"), F.col("parts"))))
+    dealt = work.put(dealt.select("id", "vector", "own", "dim", "cell", "d"))
+    ends = [F.array(*(f(F.col("d")[i]) for i in range(k))).alias(name) for f, name in ((F.min, "lo"), (F.max, "hi"))]
+    summary = work.put(dealt.groupBy("own", "dim", "cell").agg(*ends))
+    width = max(angle, math.pi / 64)
+    span = lambda low, high: F.sequence(F.floor(low / width), F.floor(high / width))
+    reach = F.explode(span(F.get("lo", F.col("cell")) - angle - SLACK, F.get("hi", F.col("cell")) + angle + SLACK)).alias("bin")
+    asking = summary.select("dim", F.col("cell").alias("pivot"), F.col("own").alias("a"), reach)
+    lies = summary.select("dim", F.col("own").alias("b"), "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("pivot"))
+    lies = lies.select("dim", "pivot", "b", F.explode(span(F.get("lo", F.col("pivot")), F.get("hi", F.col("pivot")))).alias("bin"))
+    near = asking.join(lies, ["dim", "pivot", "bin"]).select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).distinct()
+    side = lambda x: summary.select(F.col("own").alias(x), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}"))
+    apart = lambda p: F.greatest(F.get("lo_i", p) - F.get("hi_j", p), F.get("lo_j", p) - F.get("hi_i", p))
+    pairs = near.join(side("i"), "i").join(side("j"), "j").filter(F.forall(F.sequence(F.lit(0), F.lit(k - 1)), lambda p: apart(p) <= angle + SLACK))
+    return Blocks(dealt.select("id", "vector", "own"), summary, pairs.select("i", "j"))
+
+
+def cosine_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "vector", block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS) -> DataFrame:
+    """(a, b, similarity) with a < b and cosine >= threshold, exactly.
+
+    Null, empty and zero vectors, and those with a null or NaN in them, are similar to nothing, as are vectors of different
+    lengths. Each pair of blocks that may hold a pair is one task's matrix product, so that only pairs over the threshold
+    become rows; a row is sent to as many tasks as its block has partners.
+    """
+    made = blocks(vectors, threshold, id_col, vector_col, block_rows, pivots)
+    both = made.pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("own"))
+    dealt = made.rows.join(both, "own").select("i", "j", "own", "id", "vector")
 
     def multiply(part: pd.DataFrame) -> pd.DataFrame:
         i, j = part["i"].iloc[0], part["j"].iloc[0]
@@ -40,5 +127,23 @@ def cosine_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", vecto
         low, high = np.minimum(a, b)[keep], np.maximum(a, b)[keep]
         return pd.DataFrame({"a": low, "b": high, "similarity": like[at][keep]})
 
-    kind = rows.schema["id"].dataType.simpleString()
+    kind = made.rows.schema["id"].dataType.simpleString()
     return dealt.groupBy("i", "j").applyInPandas(multiply, f"a {kind}, b {kind}, similarity double")
+
+
+def similar_terms(terms: DataFrame, threshold: float, most: int = 500, **how) -> DataFrame:
+    """(term_a, term_b, similarity): the most similar pairs of terms (term, vector), but for those that differ in case only; ties by terms."""
+    found = cosine_pairs(terms, threshold, "term", "vector", **how).filter("lower(a) <> lower(b)")
+    rows = found.select(F.col("a").alias("term_a"), F.col("b").alias("term_b"), F.round("similarity", 4).alias("similarity"))
+    return rows.orderBy(F.desc("similarity"), "term_a", "term_b").limit(most)
+
+
+def similar_sections(sections: DataFrame, threshold: float, most: int = 1000, min_body: int = 60, **how) -> DataFrame:
+    """(section_a, section_b, path_a, path_b, similarity): the most similar pairs of sections (section_id, path, body,
+    vector) of different files, but for those whose body has fewer characters than min_body; ties by sections."""
+    own = sections.filter(F.length(F.regexp_replace("body", r"(?U)^\s+|\s+$", "")) >= min_body)
+    found = cosine_pairs(own, threshold, "section_id", "vector", **how)
+    side = lambda x: own.select(F.col("section_id").alias(x), F.col("path").alias(f"path_{x}"))
+    rows = found.join(side("a"), "a").join(side("b"), "b").filter("path_a <> path_b")
+    rows = rows.select(F.col("a").alias("section_a"), F.col("b").alias("section_b"), "path_a", "path_b", F.round("similarity", 4).alias("similarity"))
+    return rows.orderBy(F.desc("similarity"), "section_a", "section_b").limit(most)

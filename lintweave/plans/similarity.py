@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintweave.operators import vectors as operators
 from lintweave.operators.vectors import cosine_pairs as pairs_of
 from lintweave.sources.tables import table
 
@@ -46,7 +47,24 @@ def embedding_todo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id", "lang")
 
 
-QUERIES = {f.__name__: f for f in (cosine_pairs, cosine_cross, cosine_top, topic_unlinked, embedding_todo)}
+def term_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 500 most similar pairs of terms; each second term is the one before it in capitals, with the same vector.
+
+    Blocks are small here, so that pivots, rings and pruning take part at any size of the table.
+    """
+    rows = table(spark, sf_dir, "embeddings")
+    own = rows.filter("vec_id % 2 = 0").selectExpr("'term ' || vec_id AS term", "embedding AS vector")
+    return operators.similar_terms(own.unionByName(own.withColumn("term", F.upper("term"))), 0.3, block_rows=64)
+
+
+def section_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The thousand most similar pairs of sections across files: documents with enough text, by source."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("source").alias("path"), F.col("text").alias("body"))
+    own = table(spark, sf_dir, "embeddings").join(texts, "vec_id").selectExpr("vec_id AS section_id", "path", "body", "embedding AS vector")
+    return operators.similar_sections(own, 0.3, block_rows=64)
+
+
+QUERIES = {f.__name__: f for f in (cosine_pairs, cosine_cross, cosine_top, topic_unlinked, embedding_todo, term_similarity, section_similarity)}
 _P = """WITH p AS (SELECT x.vec_id AS a, y.vec_id AS b, x.label AS label_a, y.label AS label_b,
     list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS s FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id)"""
 ORACLE_SQL = {
@@ -56,5 +74,12 @@ ORACLE_SQL = {
     "topic_unlinked": _P + """ SELECT a, b, round(s, 4) AS similarity, CASE WHEN round(s, 4) >= 0.45 THEN 'SEM-TOPIC-DUPLICATE' ELSE 'SEM-TOPIC-UNLINKED' END AS rule_code
         FROM p JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b
         WHERE s >= 0.35 AND label_a <> label_b AND (round(s, 4) >= 0.45 OR x.source <> y.source)""",
+    "term_similarity": """WITH e AS (SELECT 'term ' || vec_id AS term, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 2 = 0), t AS (SELECT * FROM e UNION ALL SELECT upper(term), v FROM e)
+        SELECT x.term AS term_a, y.term AS term_b, round(list_cosine_similarity(x.v, y.v), 4) AS similarity FROM t x JOIN t y ON x.term < y.term AND lower(x.term) <> lower(y.term)
+        WHERE list_cosine_similarity(x.v, y.v) >= 0.3 ORDER BY similarity DESC, term_a, term_b LIMIT 500""",
+    "section_similarity": """WITH t AS (SELECT vec_id AS id, source, CAST(embedding AS DOUBLE[]) AS v FROM embeddings JOIN documents ON doc_id = vec_id
+        WHERE length(regexp_replace(text, '^[\\s\\x0b\\x85\\p{Z}]+|[\\s\\x0b\\x85\\p{Z}]+$', '', 'g')) >= 60)
+        SELECT x.id AS section_a, y.id AS section_b, x.source AS path_a, y.source AS path_b, round(list_cosine_similarity(x.v, y.v), 4) AS similarity FROM t x JOIN t y ON x.id < y.id AND x.source <> y.source
+        WHERE list_cosine_similarity(x.v, y.v) >= 0.3 ORDER BY similarity DESC, section_a, section_b LIMIT 1000""",
     "embedding_todo": "SELECT doc_id, lang FROM documents ANTI JOIN labels USING (doc_id)",
 }
