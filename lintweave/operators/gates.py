@@ -85,7 +85,7 @@ def broken_anchors(c: Corpus) -> DataFrame:
 def file_link_format(c: Corpus) -> DataFrame:
     """Links that are absolute, climb folders, or whose label isn't the file's name."""
     target, base = F.col("target"), F.substring_index("target", "/", -1)
-    named = F.regexp_replace(F.regexp_replace("label", "`", ""), "[#:].*$", "")
+    named = F.regexp_replace(F.regexp_replace("label", r"(?U)^\s*`*|`*\s*$", ""), "[#:].*$", "")
     why = (
         F.when(target.rlike(r"^(file:|/|\\|[A-Za-z]:)"), "an absolute path")
         .when(target.rlike(r"^\.\.[/\\]|/\.\./"), "a path that climbs folders")

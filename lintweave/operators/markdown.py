@@ -31,9 +31,15 @@ def documents(files: DataFrame, tiers: list[tuple[str, str]]) -> DataFrame:
 
 
 def lines(files: DataFrame) -> DataFrame:
-    """(path, line_no, line, is_fence, inside); a final newline begins no further line."""
+    """(path, line_no, line, is_fence, inside) by ``` fences; a final newline begins no further line."""
     trimmed = files.select("path", F.regexp_replace(F.coalesce("content", F.lit("")), r"\r?\n\z", "").alias("content"))
-    return parity(lines_of(trimmed, "content").drop("content"), F.col("line").rlike(r"^\s*(```|~~~)"), ["path"], "line_no")
+    return parity(lines_of(trimmed, "content").drop("content"), F.col("line").rlike(r"(?U)^\s*```"), ["path"], "line_no")
+
+
+def prose(rows: DataFrame) -> DataFrame:
+    """Lines outside fences of either kind, ``` or ~~~; whichever comes next ends one, as the consistency and evidence checks see it."""
+    marked = parity(rows.select("path", "line_no", "line"), F.col("line").rlike(r"(?U)^\s*(```|~~~)"), ["path"], "line_no")
+    return marked.filter("NOT inside AND NOT is_fence").select("path", "line_no", "line")
 
 
 def sections(rows: DataFrame) -> DataFrame:
