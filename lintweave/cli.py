@@ -4,7 +4,8 @@
     python -m lintweave.cli report ROOT (the same options; a Markdown report)
     python -m lintweave.cli check-src ROOT [--namespace NAME]
     python -m lintweave.cli next-id ROOT
-    python -m lintweave.cli graph ROOT [--max-nodes N]
+    python -m lintweave.cli graph ROOT [--max-nodes N] (a Mermaid diagram)
+    python -m lintweave.cli graph-json ROOT
     python -m lintweave.cli build ROOT
     python -m lintweave.cli format-doc ROOT
 
@@ -19,7 +20,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintweave.operators import code_rules, drift, evidence, gates, idindex, markdown, report, termmine
+from lintweave.operators import code_rules, drift, evidence, gates, graphs, idindex, markdown, report, states, termmine
 from lintweave.plans.report import GATES
 from lintweave.sources.files import read_texts
 
@@ -50,9 +51,18 @@ def graph_edges(c: gates.Corpus) -> DataFrame:
     return inside.unionByName(named).unionByName(linked).distinct()
 
 
+def graph_nodes(c: gates.Corpus) -> DataFrame:
+    """(id, ord, type, label): files, then sections, then items."""
+    files = c.files.select(F.col("path").alias("id"), F.lit("file").alias("type"), F.substring_index("path", "/", -1).alias("label"))
+    sections = c.sections.select(F.col("section_id").alias("id"), F.lit("section").alias("type"), F.col("heading").alias("label"))
+    items = c.keywords.filter("kind IN ('defined', 'traced')").select(F.concat(F.lit("item:"), "keyword").alias("id"), F.lit("item").alias("type"), F.col("keyword").alias("label"))
+    rows = files.unionByName(sections).unionByName(items).dropDuplicates(["id"])
+    return rows.select("id", F.array_position(F.array(*map(F.lit, ("file", "section", "item"))), F.col("type")).alias("ord"), "type", "label")
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="lintweave", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    parser.add_argument("command", choices=("check-doc", "check-src", "next-id", "graph", "build", "format-doc", "report"))
+    parser.add_argument("command", choices=("check-doc", "check-src", "next-id", "graph", "graph-json", "build", "format-doc", "report"))
     parser.add_argument("root")
     parser.add_argument("--tier", action="append", default=[])
     parser.add_argument("--exclude", action="append", default=[])
@@ -70,7 +80,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     c = _corpus(spark, args)
     if args.command in ("check-doc", "report"):
         ids = idindex.issues(idindex.tokens(c.lines)).select(F.lit("Identifier").alias("gate"), "severity", "path", "line", "rule_code", F.col("token").alias("message"))
-        more = {"benchmark": evidence.benchmark_missing, "artifacts": evidence.dangling_artifacts}
+        more = {"bare_paths": states.bare_paths, "benchmark": evidence.benchmark_missing, "artifacts": evidence.dangling_artifacts}
         if args.symbol:
             more["drift"] = lambda c: drift.symbol_drift(c, args.symbol)
         if args.stale:
@@ -83,9 +93,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.command == "next-id":
         _show(idindex.next_ids(idindex.tokens(c.lines)).orderBy("family", "series"))
     elif args.command == "graph":
-        print("graph LR")
-        for r in graph_edges(c).orderBy("source", "target", "relation").limit(args.max_nodes).toLocalIterator():
-            print(f'  "{r.source}" -->|{r.relation}| "{r.target}"')
+        print("\n".join(graphs.mermaid(graph_nodes(c), graph_edges(c), args.max_nodes)))
+    elif args.command == "graph-json":
+        for r in graphs.as_json(graph_nodes(c), graph_edges(c)).orderBy("part", "json").toLocalIterator():
+            print(r.json)
     elif args.command == "build":
         bodies = markdown.with_section(c.lines.select("path", "line_no", "line"), c.sections).groupBy("path", "section_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
         sections = bodies.select("path", F.col("section_id").alias("section"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("body"))

@@ -176,6 +176,24 @@ def stale_values(c: Corpus, rules: list) -> DataFrame:
     return _issues(invariants.violations(c.files, known), "Consistency", "ERROR", "CONSIST-STALE-VALUE", invariants.said(known), "line")
 
 
+def registry(c: Corpus, keyword: str = "Keyword", source: str = "Source") -> DataFrame:
+    """(keyword, source, path, line_no) of tables that index keywords; source is null unless the cell names one path."""
+    rows = markdown.table_rows(c.lines).withColumns({"k": F.array_position("header", keyword).cast("int"), "s": F.array_position("header", source).cast("int")}).filter("k > 0 AND s > 0")
+    named = rows.withColumn("keyword", F.regexp_extract(F.coalesce(F.try_element_at("cells", F.col("k")), F.lit("")), r"\{([A-Za-z0-9_-]+)\}", 1)).filter("keyword <> ''")
+    cell = F.regexp_replace(F.coalesce(F.try_element_at("cells", F.col("s")), F.lit("")), r"\[[^\]]*\]\(([^)#]*)[^)]*\)", "$1")
+    paths = F.array_distinct(F.filter(F.split(F.replace(cell, F.lit("`"), F.lit("")), r"[,;\s]+"), lambda x: x != ""))
+    return named.select("keyword", F.when(F.size(paths) == 1, paths[0]).alias("source"), "path", "line_no")
+
+
+def registry_issues(c: Corpus, index: DataFrame | None = None) -> DataFrame:
+    """Indexed keywords (keyword, source, path, line_no) whose source isn't one path, or whose source doesn't define them."""
+    index = registry(c) if index is None else index
+    lost = _issues(index.filter("source IS NULL"), "Traceability", "ERROR", "TRACE-INVALID-INDEX-LOCATION", F.concat(F.lit("Not one path: the source of "), "keyword"))
+    defined = _defined(c).select(F.col("path").alias("source"), "keyword").distinct()
+    bare = index.filter("source IS NOT NULL").join(defined, ["source", "keyword"], "left_anti").select("keyword", F.col("source").alias("path")).distinct()
+    return lost.unionByName(_issues(bare, "Traceability", "ERROR", "TRACE-INDEX-WITHOUT-DEFINITION", F.concat(F.lit("Indexed here, but not defined: "), "keyword"), F.lit(1)))
+
+
 def typo_variants(c: Corpus, most: int = 50) -> DataFrame:
     """Words that may be misspelled forms of others: the first pairs of Katakana words and of English ones."""
     placed = markdown.with_section(c.lines.select("path", "line_no", "line", "inside", "is_fence"), c.sections)
@@ -192,7 +210,7 @@ CHECKS = {
     f.__name__: f
     for f in (
         broken_links, broken_anchors, file_link_format, empty_mermaid, undefined_keywords, defined_and_referred, unreferenced_requirements,
-        definitions_without_marker, duplicate_definitions, reverse_links, reverse_keywords, missing_evidence, typo_variants,
+        definitions_without_marker, duplicate_definitions, reverse_links, reverse_keywords, missing_evidence, typo_variants, registry_issues,
     )
 }
 

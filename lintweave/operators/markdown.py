@@ -131,3 +131,24 @@ def mermaid(rows: DataFrame) -> DataFrame:
     by = rows.withColumn("block", block).withColumn("opens", opened)
     groups = by.groupBy("path", "block").agg(F.bool_or("opens").alias("is_mermaid"), F.min("line_no").alias("line_no"), F.array_sort(F.collect_list(F.when(F.col("inside"), F.struct("line_no", "line")))).alias("body"))
     return groups.filter("is_mermaid").select("path", "line_no", F.array_join(F.transform("body", lambda x: x["line"]), "\n").alias("body"))
+
+
+def table_rows(rows: DataFrame) -> DataFrame:
+    """(path, line_no, header_line, header, cells) of table rows outside fences; a bar behind a backslash is part of its cell.
+
+    A header is a line of cells before a separator (cells of hyphens, with colons at their ends); the rows of a table are the
+    lines with bars that follow without a break. Rows are bound to their header by a window over one file's lines.
+    """
+    own = Window.partitionBy("path").orderBy("line_no")
+    text = F.regexp_replace(F.trim("line"), r"^\||(?<!\\)\|$", "")
+    cells = F.transform(F.split(text, r"(?<!\\)\|"), lambda x: F.replace(F.trim(x), F.lit("\\|"), F.lit("|")))
+    bars = F.regexp_like("line", F.lit(r"(?<!\\)\|"))
+    each = rows.filter(~F.col("inside") & ~F.col("is_fence") & bars).select("path", "line_no", cells.alias("cells"))
+    each = each.withColumn("is_rule", F.forall("cells", lambda x: F.regexp_like(x, F.lit("^:?-+:?$"))))
+    after = F.lead(F.struct("line_no", "is_rule", F.size("cells").alias("n"))).over(own)
+    heads = each.withColumn("after", after).withColumn("is_head", ~F.col("is_rule") & F.coalesce((F.col("after.line_no") == F.col("line_no") + 1) & F.col("after.is_rule") & (F.col("after.n") == F.size("cells")), F.lit(False)))
+    # lines without a break have the same difference of line and rank
+    runs = heads.withColumn("run", F.col("line_no") - F.row_number().over(own))
+    last = Window.partitionBy("path", "run").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    bound = runs.withColumn("head", F.last(F.when(F.col("is_head"), F.struct(F.col("line_no").alias("header_line"), F.col("cells").alias("header"))), ignorenulls=True).over(last))
+    return bound.filter("head IS NOT NULL AND NOT is_rule AND NOT is_head").select("path", "line_no", "head.header_line", "head.header", "cells")

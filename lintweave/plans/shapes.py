@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintweave.operators import gates, states
+from lintweave.operators import gates, markdown, states
 from lintweave.sources.tables import table
 
 _OWN = "'docs/p' || (k % 4) || '/d' || k || '.md'"
@@ -53,7 +53,31 @@ def shape_link_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.file_link_format(corpus(spark, sf_dir)).select("severity", "path", "line", "rule_code", "message")
 
 
-QUERIES = {f.__name__: f for f in (shape_bare_paths, shape_link_format)}
+def _indexed(spark: SparkSession, sf_dir: str) -> gates.Corpus:
+    """A file docs/q<k % 4>/r<k>.md for each order, with a table of two keywords."""
+    at = "'docs/q' || (k % 4) || '/r' || k || '.md'"
+    next_at = "'docs/q' || ((k + 1) % 4) || '/r' || (k + 1) || '.md'"
+    lines = (
+        "'# R ' || k", "IF(k % 4 = 0, '<!-- definition: {REG_' || k || '} -->', 'none')", "'{REG_' || k || '}'", "'a | b'", "'| Keyword | Note | Source |'", "'| --- | :-: |---:|'",
+        f"'| {{REG_' || k || '}} | x | [r' || k || '.md](' || {at} || ') |'",
+        rf"'| `{{REG_' || (k + 1) || '}}` \\| or | | ' || CASE k % 3 WHEN 0 THEN 'a/b.md, c/d.md' WHEN 1 THEN '' ELSE {next_at} END || ' |'",
+        "'text'", "'| {REG_none} | x | y |'",
+    )
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    return gates.Corpus(rows.selectExpr(f"{at} AS path", f"concat_ws('\n', {', '.join(lines)}) AS content"), [])
+
+
+def shape_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of tables with their header's line and their cells."""
+    return markdown.table_rows(_indexed(spark, sf_dir).lines).select("path", F.col("line_no").cast("int").alias("line"), F.col("header_line").cast("int").alias("header_line"), F.array_join("header", ";").alias("header"), F.array_join("cells", ";").alias("cells"))
+
+
+def shape_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indexed keywords without one source, or whose source doesn't define them."""
+    return gates.registry_issues(_indexed(spark, sf_dir)).select("severity", "path", "line", "rule_code", "message")
+
+
+QUERIES = {f.__name__: f for f in (shape_bare_paths, shape_link_format, shape_tables, shape_registry)}
 _F = f"WITH f AS (SELECT o_orderkey AS k, 'docs/p' || (o_orderkey % 4) || '/d' || o_orderkey || '.md' AS path FROM orders)"
 _row = lambda line, message, source: f" SELECT 'ERROR' AS severity, path, CAST({line} AS INTEGER) AS line, 'FMT-FILE-LINK-FORMAT' AS rule_code, {message} AS message FROM {source}"
 _bare = lambda line, where="true": _row(line, "path || ': a path without a link'", f"f WHERE {where}")
@@ -64,3 +88,11 @@ ORACLE_SQL = {
         _row(2, "'d' || (k + 4) || '.md: a path from the document''s folder'", "l WHERE k % 5 = 2 AND there"), _row(2, "path || ': a label other than the file''s name'", "l WHERE k % 5 = 4"),
         _row(11, "path || ': a label other than the file''s name'", "l"))),
 }
+_R = """WITH f AS (SELECT o_orderkey AS k, 'docs/q' || (o_orderkey % 4) || '/r' || o_orderkey || '.md' AS path, 'docs/q' || ((o_orderkey + 1) % 4) || '/r' || (o_orderkey + 1) || '.md' AS other FROM orders)"""
+ORACLE_SQL |= {
+    "shape_tables": _R + """ SELECT path, CAST(7 AS INTEGER) AS line, CAST(5 AS INTEGER) AS header_line, 'Keyword;Note;Source' AS header, '{REG_' || k || '};x;[r' || k || '.md](' || path || ')' AS cells FROM f
+        UNION ALL SELECT path, 8, 5, 'Keyword;Note;Source', '`{REG_' || (k + 1) || '}` | or;;' || CASE k % 3 WHEN 0 THEN 'a/b.md, c/d.md' WHEN 1 THEN '' ELSE other END FROM f""",
+    "shape_registry": _R + """ SELECT 'ERROR' AS severity, path, CAST(8 AS INTEGER) AS line, 'TRACE-INVALID-INDEX-LOCATION' AS rule_code, 'Not one path: the source of REG_' || (k + 1) AS message FROM f WHERE k % 3 < 2
+        UNION ALL SELECT 'ERROR', path, 1, 'TRACE-INDEX-WITHOUT-DEFINITION', 'Indexed here, but not defined: REG_' || k FROM (SELECT k, path FROM f WHERE k % 4 <> 0
+        UNION SELECT k + 1, other FROM f WHERE k % 3 = 2 AND ((k + 1) % 4 <> 0 OR (k + 1) NOT IN (SELECT k FROM f)))""",
+}

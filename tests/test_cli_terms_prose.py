@@ -21,7 +21,10 @@ def test_cli(spark, tmp_path, capsys):
     assert code == 0 and "| Consistency | 1 | 0 | FAIL |" in out and "| Evidence | EVID-DANGLING-ARTIFACT-REF" not in out and "| Evidence | ERROR | EVID-DANGLING-ARTIFACT-REF | 1 |" in out
     (tmp_path / "c.md").unlink()
     assert run("next-id", str(tmp_path))[1] == "TEST\tAA\t02\n"
-    assert '"sec:req/a.md#Goal" -->|defines| "item:REQ_A"' in run("graph", str(tmp_path))[1]
+    drawn = run("graph", str(tmp_path))[1]
+    number = lambda label: next(x.split("[")[0].strip() for x in drawn.splitlines() if x.endswith(f'"{label}"]'))
+    assert f"{number('Sec: Goal')} ==> {number('Item: REQ_A')}" in drawn
+    assert '{"source":"sec:req/a.md#Goal","target":"item:REQ_A","relation":"defines"}' in run("graph-json", str(tmp_path))[1]
     assert run("check-src", str(tmp_path))[0] == 1
     assert run("format-doc", str(tmp_path))[1] == "req/a.md\n" and (tmp_path / "req/a.md").read_text().startswith("# Goal\n")
     assert "REQ_A\t" in run("build", str(tmp_path))[1]
