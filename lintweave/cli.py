@@ -79,17 +79,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return int(_show(found.unionByName(code_rules.cpp_rules(cpp, args.namespace)).orderBy("path", "line", "rule")))
     c = _corpus(spark, args)
     if args.command in ("check-doc", "report"):
-        ids = idindex.issues(idindex.tokens(c.lines)).select(F.lit("Identifier").alias("gate"), "severity", "path", "line", "rule_code", F.col("token").alias("message"))
-        more = {"bare_paths": states.bare_paths, "benchmark": evidence.benchmark_missing, "artifacts": evidence.dangling_artifacts}
+        ids = lambda c: idindex.issues(idindex.tokens(c.lines)).select(F.lit("Identifier").alias("gate"), "severity", "path", "line", "rule_code", F.col("token").alias("message"))
+        more = {"identifiers": ids, "bare_paths": states.bare_paths, "benchmark": evidence.benchmark_missing, "artifacts": evidence.dangling_artifacts}
         if args.symbol:
             more["drift"] = lambda c: drift.symbol_drift(c, args.symbol)
         if args.stale:
             more["stale"] = lambda c: gates.stale_values(c, [(f"S{i + 1}", p, p) for i, p in enumerate(args.stale)])
-        found = gates.run_checks(c, more=more).drop("ord").unionByName(ids)
+        found = gates.run_checks(c, more=more).drop("ord")
         if args.command == "report":
             print(report.markdown_report(found, GATES), end="")
             return 0
         return int(_show(found.orderBy("gate", "path", "line", "rule_code", "message")))
+    c = c.stored()
     if args.command == "next-id":
         _show(idindex.next_ids(idindex.tokens(c.lines)).orderBy("family", "series"))
     elif args.command == "graph":

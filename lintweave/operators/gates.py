@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintweave.functions.text import anchor_slug
+from lintweave.sources.work import Work
 
 from . import invariants, markdown, typos
 
@@ -60,6 +61,15 @@ class Corpus:
         key = F.when(F.col("target") == "", F.col("path")).otherwise(F.coalesce("by_root", "by_own"))
         return by_own.withColumn("key", key).drop("by_root", "by_own")
 
+    def stored(self) -> Corpus:
+        """The same corpus, its relations written once: for runs of many checks, which would each parse the files again."""
+        work = Work(self.files.sparkSession, "corpus")
+        out = Corpus(self.files, self.tiers, self.existing)
+        for name in ("documents", "lines", "sections", "keywords", "links", "paths"):
+            # each is computed from those before it as they were written
+            out.__dict__[name] = work.put(getattr(out, name))
+        return out
+
     @cached_property
     def paths(self) -> DataFrame:
         mine = self.files.select("path")
@@ -218,7 +228,10 @@ CHECKS = {
 def run_checks(c: Corpus, names: list[str] | None = None, more: dict | None = None) -> DataFrame:
     """The issues of all checks, or of the named ones, in order; more adds checks of one's own, corpus to issues."""
     known = CHECKS | (more or {})
-    chosen = [known[n](c).withColumn("ord", F.lit(i)) for i, n in enumerate(names or known)]
+    c = c.stored()
+    work = Work(c.files.sparkSession, "issues")
+    # a job for each check, so that no plan grows with their number
+    chosen = [work.put(known[n](c).withColumn("ord", F.lit(i))) for i, n in enumerate(names or known)]
     return reduce(DataFrame.unionByName, chosen)
 
 
