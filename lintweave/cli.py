@@ -1,6 +1,7 @@
 """Command line: checks a folder of Markdown files or source files and prints issues.
 
-    python -m lintweave.cli check-doc ROOT [--tier PATTERN=NAME ...] [--exclude GLOB ...] [--symbol PATTERN ...] [--stale PATTERN ...]
+    python -m lintweave.cli check-doc ROOT [--tier PATTERN=NAME ...] [--exclude GLOB ...] [--exclude-pattern PATTERN ...] [--file PATH ...]
+        [--id-glob GLOB ...] [--symbol PATTERN ...] [--stale PATTERN ...]
     python -m lintweave.cli report ROOT (the same options; a Markdown report)
     python -m lintweave.cli check-src ROOT [--namespace NAME]
     python -m lintweave.cli next-id ROOT
@@ -9,6 +10,7 @@
     python -m lintweave.cli build ROOT
     python -m lintweave.cli format-doc ROOT
 
+--file narrows the documents that are checked; identifiers are read from all files that --id-glob chooses, whatever --file says.
 The exit code is 1 if there is an issue of severity ERROR.
 """
 
@@ -20,15 +22,28 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintweave.operators import code_rules, drift, evidence, gates, graphs, idindex, markdown, report, states, termmine
+from lintweave.operators import code_rules, drift, evidence, formal, gates, graphs, idindex, markdown, report, states, termmine
 from lintweave.plans.report import GATES
-from lintweave.sources.files import read_texts
+from lintweave.sources.files import list_files, read_files, read_texts
 
 
 def _corpus(spark: SparkSession, args: argparse.Namespace) -> gates.Corpus:
     tiers = [tuple(x.rsplit("=", 1)) for x in args.tier]
-    existing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(args.root).select(F.url_decode(F.regexp_replace("path", "^.*?" + os.path.abspath(args.root) + "/", "")).alias("path"))
-    return gates.Corpus(read_texts(spark, os.path.abspath(args.root), "*.md", args.exclude), tiers, existing)
+    root = os.path.abspath(args.root)
+    docs = read_files(spark, root, ["**/*.md"], args.exclude, args.exclude_pattern, args.file or None).filter("content IS NOT NULL")
+    return gates.Corpus(docs.select("path", "content"), tiers, list_files(spark, root).select("path"))
+
+
+def _identifiers(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """Tokens of all files that the identifier globs choose."""
+    files = read_files(spark, os.path.abspath(args.root), args.id_glob or ["**/*.md"], args.exclude, args.exclude_pattern)
+    return idindex.tokens(markdown.lines(files.filter("content IS NOT NULL")))
+
+
+def _unreadable(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """An information for each chosen document that isn't UTF-8; no other check sees it."""
+    lost = read_files(spark, os.path.abspath(args.root), ["**/*.md"], args.exclude, args.exclude_pattern, args.file or None).filter("content IS NULL")
+    return lost.select(F.lit("Source").alias("gate"), F.lit("INFO").alias("severity"), "path", F.lit(1).alias("line"), F.lit("SRC-NOT-UTF8").alias("rule_code"), F.concat(F.lit("Not UTF-8, "), F.col("size").cast("string"), F.lit(" bytes")).alias("message"))
 
 
 def _show(rows: DataFrame) -> bool:
@@ -66,6 +81,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser.add_argument("root")
     parser.add_argument("--tier", action="append", default=[])
     parser.add_argument("--exclude", action="append", default=[])
+    parser.add_argument("--exclude-pattern", action="append", default=[], help="a regular expression of paths that are left out")
+    parser.add_argument("--file", action="append", default=[], help="a document to check, relative to the root; all without it")
+    parser.add_argument("--id-glob", action="append", default=[], help="files that identifiers are read from")
     parser.add_argument("--namespace")
     parser.add_argument("--symbol", action="append", default=[], help="a pattern of symbols whose values must agree")
     parser.add_argument("--stale", action="append", default=[], help="a pattern that no line may match")
@@ -79,8 +97,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return int(_show(found.unionByName(code_rules.cpp_rules(cpp, args.namespace)).orderBy("path", "line", "rule")))
     c = _corpus(spark, args)
     if args.command in ("check-doc", "report"):
-        ids = lambda c: idindex.issues(idindex.tokens(c.lines)).select(F.lit("Identifier").alias("gate"), "severity", "path", "line", "rule_code", F.col("token").alias("message"))
-        more = {"identifiers": ids, "bare_paths": states.bare_paths, "benchmark": evidence.benchmark_missing, "artifacts": evidence.dangling_artifacts}
+        ids = lambda c: idindex.issues(_identifiers(spark, args)).select(F.lit("Identifier").alias("gate"), "severity", "path", "line", "rule_code", F.col("token").alias("message"))
+        more = {"identifiers": ids, "bare_paths": states.bare_paths, "benchmark": evidence.benchmark_missing, "artifacts": evidence.dangling_artifacts, "unreadable": lambda c: _unreadable(spark, args)}
+        models = formal.scripts(read_files(spark, os.path.abspath(args.root), ["**/formal/*.py"], args.exclude, args.exclude_pattern))
+        more["models"] = lambda c: formal.missing_models(c.documents, models)
         if args.symbol:
             more["drift"] = lambda c: drift.symbol_drift(c, args.symbol)
         if args.stale:
@@ -92,7 +112,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return int(_show(found.orderBy("gate", "path", "line", "rule_code", "message")))
     c = c.stored()
     if args.command == "next-id":
-        _show(idindex.next_ids(idindex.tokens(c.lines)).orderBy("family", "series"))
+        _show(idindex.next_ids(_identifiers(spark, args)).orderBy("family", "series"))
     elif args.command == "graph":
         print("\n".join(graphs.mermaid(graph_nodes(c), graph_edges(c), args.max_nodes)))
     elif args.command == "graph-json":

@@ -88,3 +88,25 @@ def ambiguous_backing(found: DataFrame, models: DataFrame) -> DataFrame:
     shared = claims.groupBy("folder").agg(F.count(F.lit(1)).alias("n_documents")).filter("n_documents > 1")
     named = models.select(folder.alias("folder"), F.explode("backs").alias("path")).distinct()
     return claims.join(shared, "folder").join(named, ["path", "folder"], "left_anti").select("path", "folder", "n_documents")
+
+
+def scripts(files: DataFrame, folder: str = "formal") -> DataFrame:
+    """(model, backs) of files (path, content): Python files in a folder of that name, but for names that begin with an underscore.
+
+    backs are the quoted names of the first list that is assigned to BACKS; the text is read, never run. A null content backs nothing.
+    """
+    mine = files.filter(F.col("path").rlike(rf"(^|/){folder}/[^/_][^/]*\.py$"))
+    listed = F.regexp_extract(F.coalesce("content", F.lit("")), r"(?s)BACKS\s*=\s*\[(.*?)\]", 1)
+    return mine.select(F.col("path").alias("model"), F.array_distinct(F.regexp_extract_all(listed, F.lit("['\"]([^'\"]+)['\"]"), F.lit(1))).alias("backs"))
+
+
+def missing_models(documents: DataFrame, models: DataFrame, tag: str = "VERIFY_FORMAL", folder: str = "formal") -> DataFrame:
+    """Issues at documents (path, tags) with the tag that no model backs: none names them, none is in a folder beside them or above,
+    the folder right under the root not counted."""
+    tagged = documents.filter(F.array_contains("tags", tag)).select("path")
+    named = models.select(F.explode("backs").alias("path"))
+    near = backing(tagged, models, folder).filter(~F.col("model").rlike(f"^{folder}/[^/]*$")).select("path")
+    lost = tagged.join(named.unionByName(near).distinct(), "path", "left_anti")
+    return lost.select(
+        F.lit("Formal").alias("gate"), F.lit("ERROR").alias("severity"), "path", F.lit(1).alias("line"), F.lit("FORMAL-MODEL-NOT-FOUND").alias("rule_code"), F.lit(f"{tag} without a model").alias("message")
+    )
