@@ -50,11 +50,14 @@ class Corpus:
     def keywords(self) -> DataFrame:
         return markdown.keywords(self.lines, self.sections)
 
+    def found_links(self) -> DataFrame:
+        return markdown.links(self.lines)
+
     @cached_property
     def links(self) -> DataFrame:
         """With key: the corpus path that the target is, from the root or else from the file's folder."""
         folder = F.regexp_extract("path", "^(.*/)?[^/]*$", 1)
-        found = markdown.links(self.lines).withColumns({"root_key": normal_path(F.col("target")), "own_key": normal_path(F.concat(folder, "target"))})
+        found = self.found_links().withColumns({"root_key": normal_path(F.col("target")), "own_key": normal_path(F.concat(folder, "target"))})
         known = self.documents.select(F.col("path").alias("known"))
         by_root = found.join(known.withColumnRenamed("known", "by_root"), F.col("root_key") == F.col("by_root"), "left")
         by_own = by_root.join(known.withColumnRenamed("known", "by_own"), F.col("own_key") == F.col("by_own"), "left")
@@ -64,7 +67,7 @@ class Corpus:
     def stored(self) -> Corpus:
         """The same corpus, its relations written once: for runs of many checks, which would each parse the files again."""
         work = Work(self.files.sparkSession, "corpus")
-        out = Corpus(self.files, self.tiers, self.existing)
+        out = type(self)(self.files, self.tiers, self.existing)
         for name in ("documents", "lines", "sections", "keywords", "links", "paths"):
             # each is computed from those before it as they were written
             out.__dict__[name] = work.put(getattr(out, name))

@@ -42,14 +42,16 @@ def prose(rows: DataFrame) -> DataFrame:
     return marked.filter("NOT inside AND NOT is_fence").select("path", "line_no", "line")
 
 
-def sections(rows: DataFrame) -> DataFrame:
-    """(path, section_id, heading, level, line_start, line_end, parent_start) of lines.
+def sections(rows: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """(path, section_id, heading, level, line_start, line_end, parent_start) of lines; more are headings of other forms.
 
     A file without headings is one section of its own; lines before a first heading are an (Overview) section.
     parent_start is the first line of the nearest section before that has a smaller level.
     """
     heads = rows.filter(~F.col("inside") & ~F.col("is_fence") & F.col("line").rlike(r"^#{1,6}\s+\S"))
     heads = heads.select("path", F.col("line_no").alias("line_start"), F.trim(F.regexp_extract("line", r"^#{1,6}\s+(.+)$", 1)).alias("heading"), F.length(F.regexp_extract("line", "^(#+)", 1)).alias("level"))
+    if more is not None:
+        heads = heads.unionByName(more.select(F.col("line_start").cast("int"), "path", "heading", "level"))
     ends = rows.groupBy("path").agg(F.max("line_no").alias("last"))
     first = ends.join(heads.groupBy("path").agg(F.min("line_start").alias("first")), "path", "left")
     whole = first.filter("first IS NULL").select("path", F.lit(1).alias("line_start"), F.lit("").alias("heading"), F.lit(0).alias("level"))

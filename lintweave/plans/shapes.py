@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintweave.operators import gates, markdown, states
+from lintweave.operators import blocks, gates, markdown, states
 from lintweave.sources.tables import table
 
 _OWN = "'docs/p' || (k % 4) || '/d' || k || '.md'"
@@ -96,3 +96,43 @@ ORACLE_SQL |= {
         UNION ALL SELECT 'ERROR', path, 1, 'TRACE-INDEX-WITHOUT-DEFINITION', 'Indexed here, but not defined: REG_' || k FROM (SELECT k, path FROM f WHERE k % 4 <> 0
         UNION SELECT k + 1, other FROM f WHERE k % 3 = 2 AND ((k + 1) % 4 <> 0 OR (k + 1) NOT IN (SELECT k FROM f)))""",
 }
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> blocks.Corpus:
+    """A file docs/l<k % 3>/s<k>.md for each order, with underlined headings and links by label."""
+    lines = (
+        "'Title of ' || k", "IF(k % 2 = 0, '  second line', '> quoted')", "'==='", "''", "'Links: [other][O' || k || '] and [o  ' || k || '] or [missing].'", "IF(k % 3 = 0, '---', '-- -')", "'- item'", "'lazy'", "'---'", "''",
+        "'[O' || k || ']: docs/l' || ((k + 1) % 3) || '/s' || (k + 1) || '.md#top'", "'[o' || k || ']: other.md'", "'[O ' || k || ']: none.md'", "'# ATX'", "'end [O' || k || '][]'",
+    )
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    return blocks.Corpus(rows.selectExpr("'docs/l' || (k % 3) || '/s' || k || '.md' AS path", f"concat_ws('\n', {', '.join(lines)}) AS content"), [])
+
+
+def shape_underlined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections that begin at underlined headings or others; quotations and list items have none."""
+    found = _labelled(spark, sf_dir).sections
+    return found.select("section_id", "heading", "level", *(F.col(x).cast("int").alias(x) for x in ("line_start", "line_end", "parent_start")))
+
+
+def shape_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links by label with the line that defines each; of equal labels the first counts."""
+    found = blocks.reference_links(_labelled(spark, sf_dir).blocks)
+    return found.select("path", "label", "target", "anchor", *(F.col(x).cast("int").alias(x) for x in ("line_no", "defined_at")))
+
+
+def shape_broken_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links by label whose target is missing."""
+    return gates.broken_links(_labelled(spark, sf_dir)).select("severity", "path", "line", "rule_code", "message")
+
+
+QUERIES |= {f.__name__: f for f in (shape_underlined, shape_labels, shape_broken_labels)}
+_B = "WITH f AS (SELECT o_orderkey AS k, 'docs/l' || (o_orderkey % 3) || '/s' || o_orderkey || '.md' AS path, 'docs/l' || ((o_orderkey + 1) % 3) || '/s' || (o_orderkey + 1) || '.md' AS other FROM orders)"
+_LABELS = _B + """, l AS (SELECT k, path, 'other' AS label, other AS target, 'top' AS anchor, CAST(5 AS INTEGER) AS line_no, CAST(11 AS INTEGER) AS defined_at FROM f
+    UNION ALL SELECT k, path, 'o  ' || k, 'none.md', '', 5, 13 FROM f UNION ALL SELECT k, path, 'O' || k, other, 'top', 15, 11 FROM f)"""
+ORACLE_SQL |= {
+    "shape_underlined": _B + """, s AS (SELECT path, CASE WHEN k % 2 = 0 THEN 'Title of ' || k || ' second line' ELSE '(Overview)' END AS heading, 1 AS level, 1 AS line_start, CASE WHEN k % 3 = 0 THEN 4 ELSE 13 END AS line_end, NULL AS parent_start FROM f
+        UNION ALL SELECT path, 'Links: [other][O' || k || '] and [o  ' || k || '] or [missing].', 2, 5, 13, 1 FROM f WHERE k % 3 = 0 UNION ALL SELECT path, 'ATX', 1, 14, 15, NULL FROM f)
+        SELECT 'sec:' || path || '#' || heading AS section_id, heading, CAST(level AS INTEGER) AS level, CAST(line_start AS INTEGER) AS line_start, CAST(line_end AS INTEGER) AS line_end, CAST(parent_start AS INTEGER) AS parent_start FROM s""",
+    "shape_labels": _LABELS + " SELECT path, label, target, anchor, line_no, defined_at FROM l",
+    "shape_broken_labels": _LABELS + " SELECT 'ERROR' AS severity, path, line_no AS line, 'FMT-BROKEN-LINK' AS rule_code, 'Link target is missing: ' || target AS message FROM l WHERE target = 'none.md' OR k + 1 NOT IN (SELECT k FROM f)",
+}
