@@ -12,6 +12,7 @@ import pytest
 import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lintweave.llm import blocknames, bpe, langid, licenses, neardup, ogg, packing, passages, pii, urls
 from lintweave.llm.common import Shelf
@@ -155,6 +156,21 @@ def test_blocknames(spark, table, empty):
     short = sorted(f"text {i * 37 % 50:03d}" for i in range(50))
     copies = spark.createDataFrame([(i, short[i % 50]) for i in range(400)], "doc_id long, text string").repartition(6)
     assert {(r.name, short[r.doc_id % 50]) for r in blocknames.identities(copies, Shelf(spark, "t5")).collect()} == set(enumerate(short))
+    # small ranges aren't joined from here on, so that there are several
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    assert {(r.name, short[r.doc_id % 50]) for r in blocknames.identities(copies, Shelf(spark, "t5")).collect()} == set(enumerate(short))
+    # every block has the same first bytes and the same hash: ranges that meet are dealt again by contents
+    long = ["the same opening of all " + x for x in short]
+    alike = spark.createDataFrame([(i, long[i % 50]) for i in range(400)], "doc_id long, text string").repartition(6)
+    shelf = Shelf(spark, "t5")
+    same = blocknames.identities(alike, shelf, hashed=lambda _: F.lit(7).cast("long")).collect()
+    assert {(r.name, long[r.doc_id % 50]) for r in same} == set(enumerate(long)) and "level0-whole" in shelf.names
+    # one block in all rows: ranges meet within it and nothing is dealt again
+    shelf = Shelf(spark, "t5")
+    hot = spark.createDataFrame([(i, "hot") for i in range(400)], "doc_id long, text string").repartition(6)
+    made = blocknames.identities(hot, shelf)
+    assert {r.name for r in made.collect()} == {0} and made.count() == 400 and "level0-whole" not in shelf.names
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
 
 
 def test_neardup(spark, table, empty):
