@@ -209,6 +209,35 @@ def relabelled(labels: DataFrame, links: DataFrame, shelf: Shelf, name: str) ->
     return labels.join(whole, "component", "left").withColumn("component", F.coalesce("whole", "component")).drop("whole").select(*labels.columns)
 
 
+def opposed(left: DataFrame, right: DataFrame, shelf: Shelf, name: str, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of left and right (b, shingle, a, x, n, cost, slack) that other components of their (b, shingle) may meet.
+
+    Both have the two components that meet, (x, z): rows of equal (b, shingle, x, z) are to be paired, and x <> z. A row
+    stands for its component in (b, shingle) by bounds, one row for each, so that no two rows of one component come together.
+    A pair needs the slack of each to reach the cost of the other; a row stays if the bounds of the other component allow it.
+    """
+    place = ["b", "shingle"]
+    bounds = lambda rows: rows.groupBy(*place, "x").agg(F.max("slack").alias("slack"), F.min("cost").alias("cost"), F.min("n").alias("least"), F.max("n").alias("most"))
+    theirs = bounds(right).withColumnsRenamed({"x": "z", "slack": "slack_z", "cost": "cost_z", "least": "least_z", "most": "most_z"})
+    allowed = (F.col("slack") >= F.col("cost_z")) & (F.col("slack_z") >= F.col("cost"))
+    sized = (F.col("most") * 100 >= F.col("least_z") * percent) & (F.col("most_z") * 100 >= F.col("least") * percent)
+    pairs = bounds(left).join(theirs, place).filter((F.col("x") != F.col("z")) & allowed & sized)
+    pairs = shelf.put(pairs.select(*place, "x", "z", "slack", "cost", "slack_z", "cost_z"), f"{name}-pairs")
+    ours = left.join(pairs.drop("slack", "cost"), [*place, "x"]).filter(allowed).drop("slack_z", "cost_z")
+    theirs = right.withColumnsRenamed({"x": "z", "a": "o", "n": "m", "cost": "cost_z", "slack": "slack_z"})
+    theirs = theirs.join(pairs.drop("slack_z", "cost_z"), [*place, "z"]).filter(allowed).drop("slack", "cost")
+    return ours, theirs
+
+
+def met(left: DataFrame, right: DataFrame, shelf: Shelf, name: str, percent: int = PERCENT) -> DataFrame:
+    """(a, b), the larger first: rows of left and right that meet in a shingle, lie in different components and may link."""
+    ours, theirs = opposed(left, right, shelf, name, percent)
+    enough = (F.col("slack") >= F.col("cost_z")) & (F.col("slack_z") >= F.col("cost"))
+    sized = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    found = ours.join(theirs, ["b", "shingle", "x", "z"]).filter((F.col("a") != F.col("o")) & enough & sized)
+    return found.select(F.greatest("a", "o").alias("a"), F.least("a", "o").alias("b"))
+
+
 def unsettled(labels: DataFrame, classes: DataFrame, source: DataFrame, shelf: Shelf, width: int, percent: int) -> DataFrame:
     """(a, b): pairs that share a key, lie in different components and may reach the similarity.
 
@@ -219,8 +248,9 @@ def unsettled(labels: DataFrame, classes: DataFrame, source: DataFrame, shelf: S
     One of the two isn't in the component of h (a stray): its D has more than r (|x| + |h|) shingles. From this follow
     least values of the right side that depend on one class only, and prefixes of each D that must share a shingle, the
     shingles being ordered by their number of classes at h, the rarest first. Pairs are found by joining the prefixes;
-    the place of a shingle in both also tells how many can follow. Classes of a hub's largest component aren't joined
-    with each other.
+    the place of a shingle in both also tells how many can follow: with at the place of the shingle in D(x), 2 (100 + percent)
+    (|D(x)| - at) must reach cost(x) + cost(y), where cost(x) = (100 + percent) |D(x)| - (100 - percent) |x|. Components meet
+    before their classes do (see ``opposed``), so that classes of one component aren't paired.
     """
     keys = keyed(labels.select("id", "sig", "component", "anchor"))
     low, high = F.min("anchor"), F.max("anchor")
@@ -245,21 +275,15 @@ def unsettled(labels: DataFrame, classes: DataFrame, source: DataFrame, shelf: S
     ranked = each.join(often, ["b", "shingle"]).select("a", "b", "shingle", F.row_number().over(own.orderBy("c", "shingle")).alias("nth"), F.count(F.lit(1)).over(own).alias("m"))
     ranked = ranked.join(held.drop("apart"), ["a", "b"]).withColumn("at", (F.col("d") - F.col("m") + F.col("nth") - 1).cast("int")).drop("m", "nth")
     ranked = shelf.put(ranked.filter("at < greatest(as_stray, as_other)"), "ranked")
-    names = {"a": "o", "x": "z", "n": "m", "d": "e", "at": "place"}
+    cost = (100 + percent) * F.col("d") - r * F.col("n")
+    slack = two * (F.col("d") - F.col("at")) - cost
 
     # two kinds of prefix, as the stray of a pair and as the other one
     def prefixes(which: str, upto: str) -> DataFrame:
-        return ranked.filter(which).filter(F.col("at") < F.col(upto)).select("b", "shingle", "a", "x", "n", "d", "at")
-
-    enough = two * (F.least(F.col("d") - F.col("at"), F.col("e") - F.col("place"))) >= (100 + percent) * (F.col("d") + F.col("e")) - r * (F.col("n") + F.col("m"))
-    sized = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-
-    def met(left: DataFrame, right: DataFrame) -> DataFrame:
-        found = left.join(right.withColumnsRenamed(names), ["b", "shingle"]).filter((F.col("a") != F.col("o")) & (F.col("x") != F.col("z")) & enough & sized)
-        return found.select(F.greatest("a", "o").alias("a"), F.least("a", "o").alias("b"))
+        return ranked.filter(which).filter(F.col("at") < F.col(upto)).select("b", "shingle", "a", "x", "n", cost.alias("cost"), slack.alias("slack"))
 
-    strays = met(prefixes("minor AND stray", "as_stray"), prefixes("true", "as_other"))
-    others = met(prefixes("minor AND NOT stray", "as_other"), prefixes("stray", "as_stray"))
+    strays = met(prefixes("minor AND stray", "as_stray"), prefixes("true", "as_other"), shelf, "strays", percent)
+    others = met(prefixes("minor AND NOT stray", "as_other"), prefixes("stray", "as_stray"), shelf, "others", percent)
     return strays.unionByName(others).distinct()
 
 

@@ -216,6 +216,32 @@ def test_neardup(spark, table, empty):
     assert neardup.near_groups(empty, Shelf(spark, "t6")).count() == 0
 
 
+def test_neardup_components_meet_first(spark):
+    import random
+
+    rnd = random.Random(5)
+    kinds = "b long, shingle long, a long, x long, n long, cost long, slack long"
+    row = lambda i: (rnd.randrange(2), rnd.randrange(3), i, rnd.choice([0, 0, 0, 1, 2, i]), rnd.randrange(50, 90), rnd.randrange(-400, 400), rnd.randrange(-400, 400))
+    left, right = [row(i) for i in range(60)], [row(i) for i in range(60)]
+    frame = lambda rows: spark.createDataFrame(rows, kinds)
+    want = set()
+    for b, s, a, x, n, cost, slack in left:
+        for c, t, o, z, m, cost_z, slack_z in right:
+            if (b, s) == (c, t) and a != o and x != z and slack >= cost_z and slack_z >= cost and min(n, m) * 100 >= max(n, m) * 80:
+                want.add((max(a, o), min(a, o)))
+    assert want and {tuple(r) for r in neardup.met(frame(left), frame(right), Shelf(spark, "t6"), "some").collect()} == want
+    # pairs that are enumerated, by both sides of each key: two large components that can't meet and one stray that can meet one
+    for size in (900, 1800, 3600):
+        rows = [(0, s, 10 * i + s, i % 2, 80, 300, 100 + 200 * (i % 2)) for i in range(size) for s in range(3)]
+        stray = [(0, s, 10 * size + s, 7, 80, 100, 400) for s in range(3)]
+        both = frame(rows + stray)
+        ours, theirs = neardup.opposed(both, both, Shelf(spark, "t6"), "many", 80)
+        key = ["b", "shingle", "x", "z"]
+        sides = ours.groupBy(key).agg(F.count(F.lit(1)).alias("l")).join(theirs.groupBy(key).agg(F.count(F.lit(1)).alias("r")), key)
+        # 2 directions, 3 shingles, both components with the stray
+        assert sides.agg(F.sum(F.col("l") * F.col("r"))).first()[0] == 2 * 3 * size
+
+
 def test_packing(spark, table, empty):
     from tokenizers import Tokenizer
 
