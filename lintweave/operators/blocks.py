@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import gates, markdown, states
+from .lines import grown
 
 #: Codes of lines: one that ends a paragraph, text, an indented line, a mark of a quotation or list, = and - underlines, a definition of a label.
 END, TEXT, INDENTED, MARKED, DOUBLE, SINGLE, DEFINITION = range(7)
@@ -52,7 +53,7 @@ def underlined(found: DataFrame) -> DataFrame:
     closes = F.col("code").isin(DOUBLE, SINGLE) & (F.col("state") == OPEN)
     lines = found.select("path", "line_no", "line", "code", "state", closes.alias("closes"), F.last(F.when(opens, F.col("line_no")), ignorenulls=True).over(so_far).alias("line_start"))
     ends = lines.filter("closes").select("path", "line_start", F.col("line_no").alias("line_end"), F.when(F.col("code") == DOUBLE, 1).otherwise(2).alias("level"))
-    mine = lines.filter(((F.col("state") == OPEN) | (F.col("line_no") == F.col("line_start"))) & ~F.col("closes")).join(ends, ["path", "line_start"]).filter("line_no < line_end")
+    mine = lines.filter(((F.col("state") == OPEN) | (F.col("line_no") == F.col("line_start"))) & ~F.col("closes")).join(grown(ends), ["path", "line_start"]).filter("line_no < line_end")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.regexp_replace("line", r"^\s+|\s+$", "").alias("t")))), lambda x: x["t"]), " ")
     return mine.groupBy("path", "line_start", "line_end", "level").agg(text.alias("heading")).select("path", "line_start", "line_end", "heading", "level")
 
@@ -79,7 +80,7 @@ def reference_links(found: DataFrame) -> DataFrame:
     used = each.select("path", "line_no", label.alias("label"), _label(F.when(named == "", label).otherwise(named)).alias("key"))
     known = definitions(found).select("path", "key", "to", F.col("line_no").alias("defined_at"))
     to = F.coalesce(F.try_url_decode("to"), "to")
-    rows = used.join(known, ["path", "key"]).filter(~F.col("to").rlike("^(https?://|mailto:)"))
+    rows = used.join(grown(known), ["path", "key"]).filter(~F.col("to").rlike("^(https?://|mailto:)"))
     return rows.select("path", "line_no", "label", F.split_part(to, F.lit("#"), F.lit(1)).alias("target"), F.regexp_extract(to, "#(.*)$", 1).alias("anchor"), "defined_at").distinct()
 
 
@@ -95,5 +96,12 @@ class Corpus(gates.Corpus):
     def sections(self) -> DataFrame:
         return markdown.sections(self.lines, underlined(self.blocks))
 
+    @cached_property
+    def keywords(self) -> DataFrame:
+        return markdown.keywords(self.lines, self.sections)
+
+    def named(self, *kinds: str) -> DataFrame:
+        return self.keywords.filter(F.col("kind").isin(*kinds))
+
     def found_links(self) -> DataFrame:
         return super().found_links().unionByName(reference_links(self.blocks).drop("defined_at")).distinct()

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .evidence import cut_names
 from .gates import Corpus, _issues, normal_path
+from .lines import grown
 
 #: Lines of a piece.
 PIECE = 1024
@@ -47,17 +48,17 @@ def run(lines: DataFrame, code: Column, table: Sequence[Sequence[int]], piece: i
 
         return pd.Series([each(x, int(s)) for x, s in zip(codes, state, strict=True)])
 
-    letter = F.char(code + 97)
-    own = lines.select("path", F.col("line_no").cast("long").alias("line_no"), F.floor((F.col("line_no") - 1) / piece).alias("piece"), letter.alias("code"))
-    pieces = own.groupBy("path", "piece").agg(F.min("line_no").alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "code"))), lambda x: x["code"]), "").alias("codes"))
+    rest = [x for x in lines.columns if x not in ("path", "line_no")]
+    own = lines.select("path", F.floor((F.col("line_no") - 1) / piece).alias("piece"), F.struct(F.col("line_no").cast("long").alias("line_no"), F.char(code + 97).alias("_code"), F.struct(*rest).alias("_rest")).alias("_row"))
+    # a piece carries its lines, so that no join brings lines and states together
+    pieces = own.groupBy("path", "piece").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
+    pieces = pieces.withColumn("_codes", F.array_join(F.transform("_rows", lambda x: x["_code"]), ""))
     before = Window.partitionBy("path").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    effects = pieces.select("path", "piece", effect("codes").alias("effect"))
     follow = lambda acc, f: F.get(f, acc)
-    entry = F.aggregate(F.coalesce(F.collect_list("effect").over(before), F.array().cast("array<array<int>>")), F.lit(start), follow)
-    entries = effects.select("path", "piece", entry.alias("entry"))
-    known = pieces.join(entries, ["path", "piece"]).select("path", "first", entered("codes", "entry").alias("each"))
-    each = known.select("path", "first", F.posexplode("each").alias("n", "state")).select("path", (F.col("first") + F.col("n")).alias("line_no"), "state")
-    return lines.join(each, ["path", "line_no"])
+    entry = F.aggregate(F.coalesce(F.collect_list("_effect").over(before), F.array().cast("array<array<int>>")), F.lit(start), follow)
+    known = pieces.withColumn("_effect", effect("_codes")).select("path", "_rows", entered("_codes", entry).alias("_each"))
+    each = known.select("path", F.explode(F.arrays_zip("_rows", "_each")).alias("_x"))
+    return each.select("path", F.col("_x._rows.line_no").alias("line_no"), *(F.col(f"_x._rows._rest.{x}").alias(x) for x in rest), F.col("_x._each").alias("state"))
 
 
 #: States of the check of bare paths: in neither, in a fence, in a comment, in a fence that began in a comment.
@@ -97,5 +98,5 @@ def bare_paths(c: Corpus) -> DataFrame:
     named = named.filter(F.col("ref").rlike("^[A-Za-z0-9_./-]+$") & F.col("ref").rlike("^[a-z]+/."))
     inside = F.regexp_replace("ref", "^docs/", "")
     at = F.explode(F.array_distinct(F.array(normal_path(F.col("ref")), normal_path(inside), normal_path(F.concat(F.lit("docs/"), inside)))))
-    held = named.select("path", "line_no", "n", "ref", at.alias("at")).join(c.paths.select(F.col("path").alias("at")), "at").select("path", "line_no", "n", "ref").distinct()
+    held = named.select("path", "line_no", "n", "ref", at.alias("at")).join(grown(c.paths.select(F.col("path").alias("at"))), "at").select("path", "line_no", "n", "ref").distinct()
     return _issues(held, "Format", "ERROR", "FMT-FILE-LINK-FORMAT", F.concat("ref", F.lit(": a path without a link")))

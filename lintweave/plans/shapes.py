@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintweave.operators import blocks, gates, markdown, states
-from lintweave.sources.tables import table
+from lintweave.sources.tables import dealt, table
 
 _OWN = "'docs/p' || (k % 4) || '/d' || k || '.md'"
 _LINES = (
@@ -39,7 +39,7 @@ _LINES = (
 
 def corpus(spark: SparkSession, sf_dir: str) -> gates.Corpus:
     body = f"concat_ws('\\n', {', '.join(_LINES)})"
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    rows = dealt(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")))
     return gates.Corpus(rows.selectExpr(f"{_OWN} AS path", f"{body} AS content"), [("^docs/p0/", "0")])
 
 
@@ -63,7 +63,7 @@ def _indexed(spark: SparkSession, sf_dir: str) -> gates.Corpus:
         rf"'| `{{REG_' || (k + 1) || '}}` \\| or | | ' || CASE k % 3 WHEN 0 THEN 'a/b.md, c/d.md' WHEN 1 THEN '' ELSE {next_at} END || ' |'",
         "'text'", "'| {REG_none} | x | y |'",
     )
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    rows = dealt(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")))
     return gates.Corpus(rows.selectExpr(f"{at} AS path", f"concat_ws('\n', {', '.join(lines)}) AS content"), [])
 
 
@@ -104,7 +104,7 @@ def _labelled(spark: SparkSession, sf_dir: str) -> blocks.Corpus:
         "'Title of ' || k", "IF(k % 2 = 0, '  second line', '> quoted')", "'==='", "''", "'Links: [other][O' || k || '] and [o  ' || k || '] or [missing].'", "IF(k % 3 = 0, '---', '-- -')", "'- item'", "'lazy'", "'---'", "''",
         "'[O' || k || ']: docs/l' || ((k + 1) % 3) || '/s' || (k + 1) || '.md#top'", "'[o' || k || ']: other.md'", "'[O ' || k || ']: none.md'", "'# ATX'", "'end [O' || k || '][]'",
     )
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    rows = dealt(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")))
     return blocks.Corpus(rows.selectExpr("'docs/l' || (k % 3) || '/s' || k || '.md' AS path", f"concat_ws('\n', {', '.join(lines)}) AS content"), [])
 
 

@@ -39,3 +39,23 @@ def test_own_check_and_summary(spark):
 def test_evidence_keeps_last(spark):
     files = spark.createDataFrame([("a.md", "<!-- evidence:\n# no\nWit: 'x'\nwit: y\nformal=m.py benchmark=b.py\n-->")], "path string, content string")
     assert {(r.key, r.value) for r in markdown.evidence(files).collect()} == {("wit", "y"), ("formal", "m.py"), ("benchmark", "b.py")}
+
+
+def test_cut_in_rows(spark):
+    """Lines, sections and keywords of whole files against the windows over lines."""
+    import random
+
+    from lintweave.operators import lines, markdown
+
+    rng = random.Random(3)
+    pool = ["# A", "## B {K_1}", "#none", "```", "  ```text", "", "{K_2} <!-- definition: {K_2} -->", "<!-- traceability: {K_3}", "{K_4} -->", "<!-- definition: {K_5} -->", "text\r", "### C", "#### D", "~~~", " ```"]
+    texts = [None, "", "\n", "```", "\n```\n\n", "# A\n", "x\n# A"] + ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 14))) for _ in range(150)]
+    files = spark.createDataFrame([(f"f{i}", t) for i, t in enumerate(texts)], "path string, content string")
+    trimmed = files.select("path", gates.F.regexp_replace(gates.F.coalesce("content", gates.F.lit("")), r"\r?\n\z", "").alias("content"))
+    slow = lines.parity(lines.lines_of(trimmed, "content").drop("content"), gates.F.col("line").rlike(r"(?U)^\s*```"), ["path"], "line_no")
+    rows = lambda df: sorted(map(tuple, df.select(sorted(df.columns)).collect()), key=repr)
+    assert rows(markdown.lines(files)) == rows(slow)
+    c = gates.Corpus(files, [])
+    assert rows(c.sections) == rows(markdown.sections(slow))
+    assert rows(c.keywords) == rows(markdown.keywords(slow, markdown.sections(slow)))
+    assert rows(c.named("defined", "traced")) == rows(c.keywords.filter("kind IN ('defined', 'traced')"))

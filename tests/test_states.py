@@ -61,3 +61,12 @@ def test_visible(spark):
 def test_bare_paths(spark, line, found):
     c = gates.Corpus(spark.createDataFrame([("d.md", line), ("empty.md", None)], "path string, content string"), [], spark.createDataFrame([("src/a.py",)], "path string"))
     assert sorted(r.message for r in states.bare_paths(c).collect()) == [f"{x}: a path without a link" for x in found]
+
+
+@pytest.mark.parametrize("query", ["shape_bare_paths", "shape_underlined", "shape_labels", "shape_broken_labels"])
+def test_no_lines_are_broadcast(spark, query):
+    from lintweave.plans import shapes
+
+    # the planner takes lines for as few bytes as the orders that they are made of
+    plan = shapes.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" not in plan
