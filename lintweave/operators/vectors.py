@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,8 +13,12 @@ from pyspark.sql import functions as F
 
 from lintweave.sources.work import Work
 
-#: Vectors of a block; a task multiplies two blocks.
+#: Vectors of a block; a task multiplies two blocks, so many products at a time.
 BLOCK_ROWS = 2048
+PRODUCTS = 1 << 22
+#: Blocks into which vectors are dealt at most, besides those that pivots and rings make: a vector is sent once for each
+#: block that its own is compared with, so that their number must not grow with the table.
+BLOCKS = 24
 #: Pivots at most, and the vectors that they are chosen among (the ones with the smallest hashes); neither changes results.
 PIVOTS = 32
 SAMPLE = 2000
@@ -55,7 +60,9 @@ def blocks(vectors: DataFrame, threshold: float, id_col: str = "id", vector_col:
     v = F.col("vector")
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).filter((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & F.exists(v, lambda x: x != 0))
     rows = rows.filter(F.col("id").isNotNull())
-    n = -(-rows.count() // block_rows)
+    count = rows.count()
+    block_rows = max(block_rows, -(-count // BLOCKS))
+    n = -(-count // block_rows)
     angle = math.acos(max(-1.0, min(1.0, threshold)))
     if n <= 1:
         own = work.put(rows.withColumn("own", F.concat_ws("/", F.size(v).cast("string"), F.lit("0"))))
@@ -107,25 +114,29 @@ def cosine_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", vecto
 
     Null, empty and zero vectors, and those with a null or NaN in them, are similar to nothing, as are vectors of different
     lengths. Each pair of blocks that may hold a pair is one task's matrix product, so that only pairs over the threshold
-    become rows; a row is sent to as many tasks as its block has partners.
+    become rows. A row is sent to as many tasks as its block has partners, whose number doesn't grow with the table; the products do, with its square.
     """
     made = blocks(vectors, threshold, id_col, vector_col, block_rows, pivots)
     both = made.pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("own"))
     dealt = made.rows.join(both, "own").select("i", "j", "own", "id", "vector")
 
-    def multiply(part: pd.DataFrame) -> pd.DataFrame:
+    def multiply(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = pd.concat(list(parts), ignore_index=True)
         i, j = part["i"].iloc[0], part["j"].iloc[0]
         left, right = part[part["own"] == i], part[part["own"] == j]
         if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": [], "similarity": []})
+            return
         x, y = (np.stack(p["vector"].to_numpy()) for p in (left, right))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            like = (x @ y.T) / np.sqrt((x * x).sum(axis=1))[:, None] / np.sqrt((y * y).sum(axis=1))[None, :]
-        at = np.nonzero(like >= threshold)
-        a, b = left["id"].to_numpy()[at[0]], right["id"].to_numpy()[at[1]]
-        keep = a < b if i == j else a != b
-        low, high = np.minimum(a, b)[keep], np.maximum(a, b)[keep]
-        return pd.DataFrame({"a": low, "b": high, "similarity": like[at][keep]})
+        ids, others = left["id"].to_numpy(), right["id"].to_numpy()
+        size_x, size_y = (np.sqrt((v * v).sum(axis=1)) for v in (x, y))
+        step = max(1, PRODUCTS // len(y))
+        for k in range(0, len(x), step):
+            with np.errstate(invalid="ignore", divide="ignore"):
+                like = (x[k : k + step] @ y.T) / size_x[k : k + step, None] / size_y[None, :]
+            at = np.nonzero(like >= threshold)
+            a, b = ids[k + at[0]], others[at[1]]
+            keep = a < b if i == j else a != b
+            yield pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": like[at][keep]})
 
     kind = made.rows.schema["id"].dataType.simpleString()
     return dealt.groupBy("i", "j").applyInPandas(multiply, f"a {kind}, b {kind}, similarity double")

@@ -61,3 +61,15 @@ def test_terms_and_sections(spark):
     rows = [("s1", "a.md", body, [1.0, 0.0]), ("s2", "a.md", body, [1.0, 0.0]), ("s3", "b.md", body, [1.0, 0.2]), ("s4", "b.md", " " + body[1:] + "　", [1.0, 0.0]), ("s5", "c.md", None, [1.0, 0.0])]
     sections = spark.createDataFrame(rows, "section_id string, path string, body string, vector array<double>")
     assert [(r.section_a, r.section_b, r.path_a, r.path_b) for r in vectors.similar_sections(sections, 0.9).collect()] == [("s1", "s3", "a.md", "b.md"), ("s2", "s3", "a.md", "b.md")]
+
+
+def test_copies_sent_grow_with_rows(spark):
+    """However small blocks are asked for, a row isn't sent to more of them as the table grows."""
+    rng = np.random.default_rng(7)
+    sent = []
+    for n in (2000, 8000):
+        made = vectors.blocks(frame(spark, [(i, rng.normal(size=8).tolist()) for i in range(n)]), 0.3, block_rows=16, pivots=4)
+        own = made.rows.groupBy("own").count()
+        both = made.pairs.select(vectors.F.explode(vectors.F.array_distinct(vectors.F.array("i", "j"))).alias("own"))
+        sent.append(both.join(own, "own").agg({"count": "sum"}).first()[0] / n)
+    assert sent[1] < 1.3 * sent[0]
