@@ -64,6 +64,20 @@ def mutation(initial: DataFrame, transitions: DataFrame, violations: DataFrame)
     return rows.withColumn("verdict", verdict)
 
 
+def _inside(models: DataFrame, folder: str) -> DataFrame:
+    """(model, own) of models in a folder of that name, but for those whose file name begins with an underscore."""
+    known = models.filter(~F.substring_index("model", "/", -1).startswith("_"))
+    return known.select("model", F.regexp_replace("model", "/?[^/]*$", "").alias("own")).filter(F.substring_index("own", "/", -1) == folder)
+
+
+def nearest(documents: DataFrame, models: DataFrame, folder: str = "formal") -> DataFrame:
+    """(path, own): the deepest folder with models beside a document or beside one that it lies in; one row a document, however many models there are."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.size(parts) - 1, F.lit(0)), lambda i: F.array_join(F.concat(F.slice(parts, 1, i), F.array(F.lit(folder))), "/"))
+    asked = documents.select("path", F.explode(above).alias("own"))
+    return asked.join(_inside(models, folder).select("own").distinct(), "own").groupBy("path").agg(F.max_by("own", F.size(F.split("own", "/"))).alias("own"))
+
+
 def backing(documents: DataFrame, models: DataFrame, folder: str = "formal") -> DataFrame:
     """(path, model) of documents (path): the models (model, backs) that name the document, else those of the nearest
     folder of that name, beside the document or beside one of the folders that it lies in.
@@ -73,12 +87,8 @@ def backing(documents: DataFrame, models: DataFrame, folder: str = "formal") ->
     """
     known = models.filter(~F.substring_index("model", "/", -1).startswith("_"))
     named = known.select("model", F.explode("backs").alias("path")).join(documents.select("path"), "path").select("path", "model").distinct()
-    parts = F.split("path", "/")
-    above = F.transform(F.sequence(F.size(parts) - 1, F.lit(0)), lambda i: F.array_join(F.concat(F.slice(parts, 1, i), F.array(F.lit(folder))), "/"))
-    asked = documents.select("path").join(named.select("path").distinct(), "path", "left_anti").select("path", F.explode(above).alias("own"))
-    inside = known.select("model", F.regexp_replace("model", "/?[^/]*$", "").alias("own")).filter(F.substring_index("own", "/", -1) == folder)
-    near = asked.join(inside.select("own").distinct(), "own").groupBy("path").agg(F.max_by("own", F.size(F.split("own", "/"))).alias("own"))
-    return named.unionByName(near.join(inside, "own").select("path", "model"))
+    rest = documents.select("path").join(named.select("path").distinct(), "path", "left_anti")
+    return named.unionByName(nearest(rest, models, folder).join(_inside(models, folder), "own").select("path", "model"))
 
 
 def ambiguous_backing(found: DataFrame, models: DataFrame) -> DataFrame:
@@ -105,7 +115,7 @@ def missing_models(documents: DataFrame, models: DataFrame, tag: str = "VERIFY_F
     the folder right under the root not counted."""
     tagged = documents.filter(F.array_contains("tags", tag)).select("path")
     named = models.select(F.explode("backs").alias("path"))
-    near = backing(tagged, models, folder).filter(~F.col("model").rlike(f"^{folder}/[^/]*$")).select("path")
+    near = nearest(tagged, models, folder).filter(F.col("own") != folder).select("path")
     lost = tagged.join(named.unionByName(near).distinct(), "path", "left_anti")
     return lost.select(
         F.lit("Formal").alias("gate"), F.lit("ERROR").alias("severity"), "path", F.lit(1).alias("line"), F.lit("FORMAL-MODEL-NOT-FOUND").alias("rule_code"), F.lit(f"{tag} without a model").alias("message")

@@ -72,3 +72,13 @@ def test_first_of_ties(spark, tmp_path):
     lines.coalesce(1).orderBy(gates.F.col("n").desc()).coalesce(1).drop("n").write.parquet(str(tmp_path / "lineitem.parquet"))
     found = {tuple(r) for r in assessments.store_first(spark, str(tmp_path)).collect()}
     assert found == {(900 + i % 5, 5.0 + (i * 7) % 11) for i in range(395, 400)}
+
+
+def test_nearest_folder_once(spark):
+    """A document is looked up among folders, not among all the models that a folder holds."""
+    docs = spark.createDataFrame([(f"a/b/x{i}.md", ["VERIFY_FORMAL"]) for i in range(50)] + [("y.md", ["VERIFY_FORMAL"])], "path string, tags array<string>")
+    models = spark.createDataFrame([(f"a/formal/m{i}.py", []) for i in range(60)] + [("formal/r.py", []), ("a/b/formal/_m.py", [])], "model string, backs array<string>")
+    found = [tuple(r) for r in formal.nearest(docs, models).collect()]
+    assert sorted(found) == sorted([(f"a/b/x{i}.md", "a/formal") for i in range(50)] + [("y.md", "formal")])
+    assert [r.path for r in formal.missing_models(docs, models).collect()] == ["y.md"]
+    assert formal.backing(docs, models).count() == 50 * 60 + 1
