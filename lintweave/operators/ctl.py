@@ -3,14 +3,20 @@
 states, initial (model, state), transitions (model, source, target), labels (model, state, proposition). A path ends at a
 state without successors: there EX and EG of what follows are decided by that state alone. Formulas are nested tuples, a
 bounded configuration: ("p", name), ("true",), ("not", f), ("and" | "or" | "imply", f, g), ("EX" | "AX" | "EF" | "AF" |
-"EG" | "AG", f), ("EU" | "AU", f, g). All models are worked on at once, and all subformulas of one height and kind.
+"EG" | "AG", f), ("EU" | "AU", f, g).
+
+Models of up to WHOLE rows (states, transitions and labels) come together, each in one row of an Arrow batch, in one shuffle.
+Larger ones are searched by joins, a few edges a round: all of them at once, and all subformulas of one height and kind.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +24,8 @@ from lintweave.sources.work import Work
 
 #: Edges that a round of a search follows before what it found is written.
 HOPS = 4
+#: Rows of a model that isn't searched by joins, and of the models that Python works on at once.
+WHOLE, SLICE = 1024, 1 << 17
 LIVENESS = ("liveness", "response", "deadlock_freedom", "progress")
 SAFETY = ("safety", "deadlock_freedom", "mutual_exclusion")
 
@@ -44,8 +52,83 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select("model", F.col("target").alias("source"), F.col("source").alias("target"))
 
 
-def components(states: DataFrame, edges: DataFrame, work: Work) -> DataFrame:
-    """(model, state, component, cyclic): strongly connected components by their smallest state; cyclic if on a cycle.
+def large_models(tables: list[DataFrame], work: Work, whole: int) -> DataFrame:
+    """(model): those with more than so many rows in tables (model, ...)."""
+    rows = reduce(DataFrame.unionByName, (x.select("model") for x in tables))
+    return work.put(rows.groupBy("model").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > whole).select("model"))
+
+
+def _cut(batch: pa.RecordBatch, lists: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch in which the lists of some columns hold SLICE items, or which are one row."""
+    sizes = np.sum([batch.column(i).value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for i in lists], axis=0)
+    start, total = 0, 0
+    for i, n in enumerate(sizes):
+        total += n
+        if total >= SLICE or i + 1 == len(sizes):
+            yield batch.slice(start, i + 1 - start)
+            start, total = i + 1, 0
+
+
+def strong(edges: list[tuple]) -> tuple[dict, set]:
+    """Of each state with an edge, its strongly connected component's smallest state; and the states on cycles (Tarjan)."""
+    after: dict = {}
+    for s, t in edges:
+        after.setdefault(s, []).append(t)
+        after.setdefault(t, [])
+    number, low, open_, component, cyclic = {}, {}, [], {}, {s for s, t in edges if s == t}
+    for root in after:
+        path = [] if root in number else [(root, iter(after[root]))]
+        while path:
+            s, rest = path[-1]
+            if s not in number:
+                number[s] = low[s] = len(number)
+                open_.append(s)
+            t = next((t for t in rest if t not in component), None)
+            if t is None:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[s])
+                if low[s] == number[s]:
+                    at = open_.index(s) if open_[-1] != s else len(open_) - 1
+                    own, open_ = open_[at:], open_[:at]
+                    component |= dict.fromkeys(own, min(own))
+                    cyclic.update(own if len(own) > 1 else ())
+            elif t in number:
+                low[s] = min(low[s], number[t])
+            else:
+                path.append((t, iter(after[t])))
+    return component, cyclic
+
+
+def components(states: DataFrame, edges: DataFrame, work: Work, whole: int = WHOLE) -> DataFrame:
+    """(model, state, component, cyclic): strongly connected components by their smallest state; cyclic if on a cycle."""
+    large = large_models([states, edges], work, whole)
+    both = states.select("model", "state", F.lit(None).cast(edges.schema["target"].dataType).alias("target")).unionByName(edges.select("model", F.col("source").alias("state"), "target"))
+    edge = F.when(F.col("target").isNotNull(), F.struct("state", "target"))
+    rows = both.join(large, "model", "left_anti").groupBy("model").agg(F.collect_set(F.when(F.col("target").isNull(), F.col("state"))).alias("states"), F.collect_list(edge).alias("edges"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _cut(batch, (1, 2)):
+                owner, state, component, cyclic = [], [], [], []
+                for i, (own, sources, targets) in enumerate(zip(*(part.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
+                    found, on = strong(list(zip(sources, targets, strict=True)))
+                    owner += [i] * len(own)
+                    state += own
+                    component += [found.get(s, s) for s in own]
+                    cyclic += [s in on for s in own]
+                kind = part.schema.field(1).type.value_type
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner, pa.int64())), pa.array(state, kind), pa.array(component, kind), pa.array(cyclic, pa.bool_())], ["model", "state", "component", "cyclic"])
+
+    kinds = [states.schema[x].dataType.simpleString() for x in ("model", "state")]
+    found = rows.select("model", "states", "edges.state", "edges.target").mapInArrow(run, f"model {kinds[0]}, state {kinds[1]}, component {kinds[1]}, cyclic boolean")
+    if large.isEmpty():
+        return found
+    return found.unionByName(searched_components(states.join(large, "model", "left_semi"), edges.join(large, "model", "left_semi"), work))
+
+
+def searched_components(states: DataFrame, edges: DataFrame, work: Work) -> DataFrame:
+    """The components of large models, by joins.
 
     States without an edge from or to their region are trimmed, again and again. In each region that is left, what a pivot
     reaches and what reaches it meet in its component; the other three parts are regions of the next round. Pivots are
@@ -132,18 +215,151 @@ def violation(f: tuple) -> tuple | None:
     return f[1][1] if f[0] == "AG" and f[1][0] == "not" else None
 
 
+class Batch:
+    """The graph of a batch's models, (states, sources, targets, at, names, starts) of each: a number for each state."""
+
+    def __init__(self, rows: list[tuple]):
+        self.first, sources, targets, self.labels, starts, leaves = [0], [], [], {}, [], []
+        for states, source, target, at, names, start in rows:
+            place = {s: self.first[-1] + i for i, s in enumerate(states)}
+            self.first.append(self.first[-1] + len(states))
+            leaves += [place[s] for s in source if s in place]
+            both = [(place[s], place[t]) for s, t in zip(source, target, strict=True) if s in place and t in place]
+            sources += [s for s, _ in both]
+            targets += [t for _, t in both]
+            starts += [place[s] for s in start if s in place]
+            for s, name in zip(at, names, strict=True):
+                if s in place:
+                    self.labels.setdefault(name, []).append(place[s])
+        self.n = self.first[-1]
+        self.sources, self.targets = np.array(sources, np.int64), np.array(targets, np.int64)
+        self.initial, self.ends = self.mask(starts), ~self.mask(leaves)
+        self.known: dict[tuple, np.ndarray] = {}
+
+    def mask(self, places: list[int]) -> np.ndarray:
+        out = np.zeros(self.n, bool)
+        out[places] = True
+        return out
+
+    def before(self, z: np.ndarray) -> np.ndarray:
+        """The states from which an edge leads into z."""
+        out = np.zeros(self.n, bool)
+        out[self.sources[z[self.targets]]] = True
+        return out
+
+    def holds(self, f: tuple) -> np.ndarray:
+        """The states that satisfy a formula of basis."""
+        if f not in self.known:
+            self.known[f] = self._holds(f)
+        return self.known[f]
+
+    def _holds(self, f: tuple) -> np.ndarray:
+        match f:
+            case ("true",):
+                return np.ones(self.n, bool)
+            case ("p", name):
+                return self.mask(self.labels.get(name, []))
+            case ("not", x):
+                return ~self.holds(x)
+            case ("and", x, y):
+                return self.holds(x) & self.holds(y)
+            case ("or", x, y):
+                return self.holds(x) | self.holds(y)
+            case ("EX", x):
+                return self.before(self.holds(x))
+            case ("EU", x, y):
+                found, new = self.holds(y), self.holds(y)
+                while new.any():
+                    new = self.before(new) & self.holds(x) & ~found
+                    found = found | new
+                return found
+            case ("EG", x):
+                found, kept = None, self.holds(x)
+                while found is None or (found != kept).any():
+                    found, kept = kept, kept & (self.ends | self.before(kept))
+                return found
+        raise ValueError(f"unknown operator {f[0]}")
+
+
 @dataclass
 class Machines:
-    """States, initial states, transitions and labels of all models."""
+    """States, initial states, transitions and labels of all models; models of up to ``whole`` rows aren't searched by joins."""
 
     states: DataFrame
     initial: DataFrame
     transitions: DataFrame
     labels: DataFrame
     work: Work
+    whole: int = WHOLE
+
+    def _large(self) -> DataFrame:
+        return large_models([self.states, self.transitions, self.labels], self.work, self.whole)
+
+    def _of(self, models: DataFrame, names: list[str]) -> Machines:
+        """The machines of some models."""
+        own = [x.join(models, "model", "left_semi") for x in (self.states, self.initial, self.transitions, self.labels.filter(F.col("proposition").isin(names)))]
+        return Machines(*(self.work.put(x) for x in own), self.work, self.whole)
+
+    def _packed(self, large: DataFrame, names: list[str]) -> DataFrame:
+        """(model, states, sources, targets, at, names, starts): a row for each model that isn't large."""
+        no = lambda x, to: F.lit(None).cast(to).alias(x)
+        kind = self.states.schema["state"].dataType
+        rows = lambda df, state, **has: df.select("model", F.col(state).alias("state"), *(F.col(has[x]).alias(x) if x in has else no(x, to) for x, to in (("target", kind), ("name", "string"))))
+        parts = [rows(self.states, "state"), rows(self.transitions, "source", target="target"), rows(self.labels.filter(F.col("proposition").isin(names)), "state", name="proposition"), rows(self.initial, "state")]
+        each = reduce(DataFrame.unionByName, (x.withColumn("k", F.lit(i)) for i, x in enumerate(parts))).join(large, "model", "left_anti")
+        of = lambda i, *columns: F.when(F.col("k") == i, F.struct(*columns) if len(columns) > 1 else F.col(columns[0]))
+        own = each.groupBy("model").agg(F.collect_set(of(0, "state")).alias("states"), F.collect_list(of(1, "state", "target")).alias("edges"), F.collect_list(of(2, "state", "name")).alias("labels"), F.collect_list(of(3, "state")).alias("starts"))
+        return own.select("model", "states", F.col("edges.state").alias("sources"), "edges.target", F.col("labels.state").alias("at"), "labels.name", "starts")
 
     def satisfied(self, formulas: list[tuple]) -> DataFrame:
         """(node, model, state) where formulas hold; node is a formula's place in the list."""
+        roots, names = [basis(f) for f in formulas], sorted(set().union(*map(propositions, formulas)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in _cut(batch, (1, 2, 4)):
+                    graph = Batch(list(zip(*(part.column(i).to_pylist() for i in range(1, 7)), strict=True)))
+                    owner, states = np.repeat(np.arange(part.num_rows), np.diff(graph.first)), part.column(1).flatten()
+                    for node, f in enumerate(roots):
+                        at = np.flatnonzero(graph.holds(f))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), node, np.int32)), part.column(0).take(pa.array(owner[at])), states.take(pa.array(at))], ["node", "model", "state"])
+
+        large = self._large()
+        kinds = [self.states.schema[x].dataType.simpleString() for x in ("model", "state")]
+        found = self._packed(large, names).mapInArrow(run, f"node int, model {kinds[0]}, state {kinds[1]}")
+        return found if large.isEmpty() else found.unionByName(self._of(large, names).searched(formulas))
+
+    def judged(self, formulas: list[tuple]) -> DataFrame:
+        """(model, told, possible, broken): the formulas' propositions that a state of the model has, and of each formula
+        whether a state satisfies it and whether an initial one doesn't."""
+        roots, names = [basis(f) for f in formulas], sorted(set().union(*map(propositions, formulas)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in _cut(batch, (1, 2, 4)):
+                    rows = list(zip(*(part.column(i).to_pylist() for i in range(1, 7)), strict=True))
+                    graph = Batch(rows)
+                    count = lambda z: np.diff(np.concatenate([[0], np.cumsum(z)])[graph.first]) > 0
+                    flags = [np.stack([count(z) for z in some], axis=1).tolist() for some in ([graph.holds(f) for f in roots], [graph.initial & ~graph.holds(f) for f in roots])]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sorted(set(x[4])) for x in rows], pa.list_(pa.string())), *(pa.array(x, pa.list_(pa.bool_())) for x in flags)], ["model", "told", "possible", "broken"])
+
+        large = self._large()
+        found = self._packed(large, names).mapInArrow(run, f"model {self.states.schema['model'].dataType.simpleString()}, told array<string>, possible array<boolean>, broken array<boolean>")
+        if large.isEmpty():
+            return found
+        m = self._of(large, names)
+        sat = self.work.put(m.searched(formulas))
+        nodes = F.explode(F.sequence(F.lit(0), F.lit(len(formulas) - 1))).alias("node")
+        broken = m.initial.select("model", "state", nodes).join(sat, ["model", "node", "state"], "left_anti").select("model", "node").distinct()
+        place = lambda rows, name: rows.groupBy("model").agg(F.collect_set("node").alias(name))
+        rows = large.join(m.labels.groupBy("model").agg(F.array_sort(F.collect_set("proposition")).alias("told")), "model", "left")
+        for name, own in (("possible", sat.select("model", "node").distinct()), ("broken", broken)):
+            rows = rows.join(place(own, name), "model", "left")
+        flag = lambda name: F.transform(F.sequence(F.lit(0), F.lit(len(formulas) - 1)), lambda i: F.coalesce(F.array_contains(name, i), F.lit(False))).alias(name)
+        return found.unionByName(rows.select("model", F.coalesce("told", F.array().cast("array<string>")).alias("told"), flag("possible"), flag("broken")))
+
+    def searched(self, formulas: list[tuple]) -> DataFrame:
+        """As satisfied, by joins for all models."""
         every = self.work.put(self.states.select("model", "state").distinct())
         edges = self.work.put(self.transitions.select("model", "source", "target").distinct())
         height: dict[tuple, int] = {}
@@ -201,7 +417,7 @@ class Machines:
         inside = self.work.put(reduce(DataFrame.unionByName, (known[f[1]].select(F.struct("model", F.lit(i).alias("node")).alias("model"), "state") for i, f in enumerate(some))))
         ends = every.join(edges.select("model", F.col("source").alias("state")), ["model", "state"], "left_anti")
         stops = inside.join(ends.select(F.col("model").alias("own"), "state"), (F.col("model.model") == F.col("own")) & (inside["state"] == ends["state"]), "left_semi")
-        cycles = components(inside, steps, self.work).filter("cyclic").select("model", "state")
+        cycles = components(inside, steps, self.work, self.whole).filter("cyclic").select("model", "state")
         return spread(cycles.unionByName(stops), reverse(steps), self.work).select("model.model", "model.node", "state")
 
 
@@ -217,19 +433,15 @@ def audit(machines: Machines, properties: DataFrame, formulas: dict[str, tuple],
     names = list(formulas)
     derived = [(n, violation(f)) for n, f in formulas.items()]
     extra = [v for _, v in derived if v]
-    work = machines.work
-    sat = work.put(machines.satisfied([*formulas.values(), *extra]))
     place = {v: len(names) + i for i, v in enumerate(extra)}
     table = spark.createDataFrame([(n, i, eventuality(formulas[n]), place.get(v), sorted(propositions(formulas[n]))) for i, (n, v) in enumerate(derived)], "formula string, node int, progress string, own_violation int, used array<string>")
     asked = properties.join(F.broadcast(table), "formula", "left").join(F.broadcast(table.select(F.col("formula").alias("violation"), F.col("node").alias("said"))), "violation", "left")
-    asked = work.put(asked.withColumn("excluded", F.coalesce("said", "own_violation")))
+    asked = asked.withColumn("excluded", F.coalesce("said", "own_violation"))
     key = ["model", "property"]
-    told = machines.labels.select("model", F.col("proposition").alias("name")).distinct()
-    orphans = asked.select(*key, F.explode("used").alias("name")).join(told, ["model", "name"], "left_anti").groupBy(*key).agg(F.array_sort(F.collect_set("name")).alias("orphans"))
-    possible = sat.select("model", F.col("node").alias("excluded")).distinct().withColumn("possible", F.lit(True))
-    starts = asked.select(*key, "node").join(machines.initial.select("model", "state").distinct(), "model").join(sat, ["model", "node", "state"], "left_anti")
-    broken = starts.select(*key).distinct().withColumn("broken", F.lit(True))
-    rows = asked.join(orphans, key, "left").join(possible, ["model", "excluded"], "left").join(broken, key, "left")
+    flag = lambda c, i: F.coalesce(F.get(c, F.col(i)), F.lit(False))
+    missing = F.array_except("used", F.coalesce("told", F.array().cast("array<string>")))
+    rows = asked.join(machines.judged([*formulas.values(), *extra]), "model", "left")
+    rows = rows.withColumns({"orphans": F.when(F.size(missing) > 0, missing), "possible": F.when(flag("possible", "excluded"), True), "broken": F.when(flag("broken", "node"), True)})
     live, safe = F.col("kind").isin(*LIVENESS), F.col("kind").isin(*SAFETY)
     holds, vacuity = F.col("broken").isNull(), F.lit(check_vacuity)
     say = lambda status, reason: F.struct(F.lit(status).alias("status"), reason.alias("reason"))

@@ -44,7 +44,7 @@ def _machines(spark: SparkSession, sf_dir: str) -> ctl.Machines:
     said = F.array(F.when(F.col("o_orderstatus") == "F", "finished"), F.when(F.col("o_orderstatus") == "O", "open"), F.when(F.startswith("o_orderpriority", F.lit("1")), "urgent"))
     labels = rows.select("model", "state", F.explode(said).alias("proposition")).filter("proposition IS NOT NULL")
     initial = rows.filter("state = least(1, n - 1)").select("model", "state")
-    return ctl.Machines(rows.select("model", "state"), initial, work.put(edges), work.put(labels), work)
+    return ctl.Machines(rows.select("model", "state"), initial, edges, labels, work)
 
 
 def machine_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,3 +143,24 @@ def test_audit(spark, vacuity):
     found = {r.message: (r.severity, r.rule_code) for r in ctl.issues(done).collect()}
     assert found["Property unknown: undefined proposition (panic)"] == ("ERROR", "FORMAL-PROPERTY-INVALID")
     assert found["Property no_done_known: fails as expected"] == ("WARNING", "FORMAL-PROPERTY-REFUTED") and "Property starts: holds" not in found
+
+
+@pytest.mark.parametrize("whole", [0, 12])
+def test_large_models(spark, whole):
+    """Models that are searched by joins, and both kinds at once, equal those that come whole."""
+    rng = random.Random(5)
+    known = machines(rng, 12)
+    t = tables(spark, known)
+    asked = {"until": ("AU", P("a"), P("b")), "ever": ("AF", P("a")), "calm": ("AG", ("not", P("b"))), "next": ("EX", P("d"))}
+    rows = spark.createDataFrame([(m, n, "other", True, None, n, None) for m in known for n in asked], "model long, property string, kind string, expect boolean, note string, formula string, violation string")
+    there = ctl.Machines(t.states, t.initial, t.transitions, t.labels, t.work, whole)
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(ctl.audit(there, rows, asked), ctl.audit(t, rows, asked))
+    assert same(ctl.components(t.states, t.transitions, t.work, whole), ctl.components(t.states, t.transitions, t.work))
+
+
+def test_small_models_without_rounds(spark, monkeypatch):
+    monkeypatch.setattr(ctl, "spread", lambda *a, **k: pytest.fail("a round of joins"))
+    t = tables(spark, {7: LOOP})
+    assert t.satisfied([("AF", P("done")), ("EF", P("done"))]).count() == 4
+    assert ctl.components(t.states, t.transitions, t.work).count() == 3
