@@ -1,49 +1,47 @@
 """Greedy batches under a budget.
 
 A batch ends before the row that would take it over the budget, or after so many rows, and the next begins there: a window
-can't say where, since a sum that starts again depends on all batches before. So each row finds where a batch that began
-with it would end, by a search among running sums, and the batches that do begin are those that jumps from the first row
-come to; jumps are doubled until none is left, as many rounds as the logarithm of a key's batches.
+can't say where, since a sum that starts again depends on all batches before. So rows are dealt by key and sorted once, and
+a task goes through them in order with the running batch's sum and number; nothing of a key is gathered.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from lintweave.sources.work import Work
+from pyspark.sql import types as T
 
 
 def greedy(rows: DataFrame, keys: list[str], order: list[str], size: Column, budget: int | Column, most: int) -> DataFrame:
     """Adds batch, from 0, to rows; by keys, in order. A row that is larger than the budget is a batch of its own.
 
     size isn't negative, null is 0; order tells a key's rows apart; a budget may be a column that is the same in all of a
-    key's rows. Sums are windows over one key's rows.
+    key's rows. A key's rows go through one task, one Arrow batch at a time.
     """
-    work = Work(rows.sparkSession, "batches")
     own = Window.partitionBy(*keys).orderBy(*order)
-    sized = rows.withColumns({"_size": F.coalesce(size.cast("long"), F.lit(0).cast("long")), "_room": F.lit(budget) if isinstance(budget, int) else budget})
-    known = work.put(sized.withColumns({"_pos": F.row_number().over(own).cast("long"), "_run": F.sum("_size").over(own.rowsBetween(Window.unboundedPreceding, 0))}))
-    # one merged order of running sums and of the sums that a batch from each row may reach
-    sums = known.select(*keys, F.col("_run").alias("_at"), F.lit(0).alias("_kind"), "_pos")
-    asked = known.select(*keys, (F.col("_run") - F.col("_size") + F.col("_room")).alias("_at"), F.lit(1).alias("_kind"), "_pos")
-    before = Window.partitionBy(*keys).orderBy("_at", "_kind", "_pos").rowsBetween(Window.unboundedPreceding, 0)
-    reach = F.max(F.when(F.col("_kind") == 0, F.col("_pos"))).over(before)
-    ends = sums.unionByName(asked).withColumn("_last", reach).filter("_kind = 1")
-    jumps = work.put(ends.select(*keys, "_pos", F.least(F.greatest("_last", "_pos") + 1, F.col("_pos") + most).alias("_next")))
-    marks = work.put(known.filter("_pos = 1").select(*keys, "_pos"))
-    count = marks.count()
-    while count:
-        far = marks.join(jumps, [*keys, "_pos"]).select(*keys, F.col("_next").alias("_pos"))
-        far = far.join(known.select(*keys, "_pos"), [*keys, "_pos"], "left_semi").join(marks, [*keys, "_pos"], "left_anti")
-        new = work.put(far)
-        count = new.count()
-        marks = work.put(marks.unionByName(new)) if count else marks
-        onward = jumps.select(*keys, F.col("_pos").alias("_next"), F.col("_next").alias("_then"))
-        jumps = work.put(jumps.join(onward, [*keys, "_next"]).select(*keys, "_pos", F.col("_then").alias("_next"))) if count else jumps
-    marked = known.join(marks.withColumn("_begins", F.lit(1)), [*keys, "_pos"], "left")
-    batch = (F.count("_begins").over(Window.partitionBy(*keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int")
-    return marked.withColumn("batch", batch).select(*rows.columns, "batch")
+    room = F.lit(budget) if isinstance(budget, int) else budget
+    sized = rows.select("*", F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias("_size"), F.coalesce(room.cast("long"), F.lit(-1).cast("long")).alias("_room"))
+    placed = sized.withColumn("_first", F.row_number().over(own) == 1)
+    names = rows.columns
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = total = held = 0
+        for part in parts:
+            out = []
+            for n, limit, first in zip(*(part.column(len(names) + i).to_pylist() for i in range(3)), strict=True):
+                if first:
+                    batch, total, held = 0, n, 1
+                elif total + n > limit or held == most:
+                    batch, total, held = batch + 1, n, 1
+                else:
+                    total, held = total + n, held + 1
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(out, pa.int32())], [*names, "batch"])
+
+    return placed.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("batch", T.IntegerType())]))
 
 
 def requests(items: DataFrame, checks: DataFrame, budget: int, most: int) -> DataFrame:

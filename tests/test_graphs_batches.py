@@ -84,3 +84,16 @@ def test_tables(spark):
     assert {(r.keyword, r.source, r.line_no) for r in gates.registry(c).collect()} == {("K_A", "docs/a.md", 4), ("K_B", "docs/b.md", 5), ("K_C", None, 6), ("K_F", "docs/none.md", 16), ("K_G", None, 17)}
     found = {(r.rule_code, r.path, r.line) for r in gates.registry_issues(c).collect()}
     assert found == {("TRACE-INVALID-INDEX-LOCATION", "docs/t.md", 6), ("TRACE-INVALID-INDEX-LOCATION", "docs/t.md", 17), ("TRACE-INDEX-WITHOUT-DEFINITION", "docs/b.md", 1), ("TRACE-INDEX-WITHOUT-DEFINITION", "docs/none.md", 1)}
+
+
+def test_greedy_shuffles_once(spark):
+    """No rounds: no job runs before the rows are asked for, and a row crosses one shuffle."""
+    rows = spark.range(3000).selectExpr("id % 3 AS k", "id AS n", "id % 7 AS s")
+    spark.sparkContext.setJobGroup("greedy", "greedy")
+    try:
+        done = batches.greedy(rows, ["k"], ["n"], F.col("s"), 11, 3)
+        assert not list(spark.sparkContext.statusTracker().getJobIdsForGroup("greedy"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert done._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert done.groupBy("k", "batch").agg(F.sum("s").alias("s"), F.count("*").alias("n")).filter("s > 11 OR n > 3").count() == 0
