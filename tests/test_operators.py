@@ -69,3 +69,23 @@ def test_cosine(spark, block_rows):
     got = {(r.a, r.b): r.similarity for r in cosine_pairs(rows, 0.5, block_rows=block_rows).collect()}
     assert set(got) == {(1, 2), (2, 3), (1, 6), (2, 6)}
     assert math.isclose(got[1, 2], math.sqrt(0.5)) and math.isclose(got[1, 6], 1.0)
+
+
+def test_files_are_cut_in_one_row(spark):
+    """Odd files give what windows over their lines give, without a shuffle."""
+    odd = [
+        "", None, "\n", "\r\n", "# A {x}\r\n{y}\r\n", "a\n#  b\n# c\n#\td \n####### e\n## f g\n", "```\n# in {a}\n~~~\n 　```\n# out {b}\n## {VERIFY_X} {Decision_1}",
+        "<!-- definition: {a}\n{b} --> {a}\n<!-- DEFINITION: {c} {c} -->\n<!-- defınition: {d} -->\n<!-- traceability: {e}\n```\n{f} -->\n```\n# g\n{h}", "## b\n# a\n### c\n## d\n#### e\n# f\n\n", "{a\n}```\n# x```\n",
+    ]
+    files = spark.createDataFrame([(f"f{i}", x) for i, x in enumerate(odd)], "path string, content string")
+    rows = markdown.lines(files)
+    found = markdown.sections(rows)
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+    assert same(markdown.atx_sections(files), found)
+    assert same(markdown.atx_keywords(files), markdown.keywords(rows, found))
+    assert same(markdown.atx_keywords(files, ("traced", "defined")), markdown.keywords(rows, found).filter("kind IN ('traced', 'defined')"))
+    bare = files.select("path", F.posexplode(F.split(F.regexp_replace(F.coalesce("content", F.lit("")), r"\r?\n\z", ""), "\n")).alias("n", "line"))
+    marked = markdown.parity(bare.withColumn("line_no", F.col("n") + 1), F.col("line").rlike(r"(?U)^[^\S\n]*```"), ["path"], "line_no")
+    assert same(rows, marked)
+    for made in (rows, markdown.atx_sections(files), markdown.atx_keywords(files)):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
