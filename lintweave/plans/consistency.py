@@ -9,6 +9,9 @@ from lintweave.operators import invariants
 from lintweave.operators.lines import lines_of
 from lintweave.sources.tables import table
 
+#: Passages that one automaton holds, in each worker.
+AUTOMATON = 20_000
+
 
 def _long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines_of(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").drop("text")
@@ -38,13 +41,16 @@ def dup_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stale_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that documents contain.
 
-    Words 2 to 4 of a passage are whole words wherever it stands, so they are its key in an equi-join with the three-word
+    As many as one automaton holds are looked for in one scan of the documents, which shuffles nothing. Of more passages,
+    words 2 to 4 are whole words wherever a passage stands, so they are its key in an equi-join with the three-word
     runs of documents; the passage itself is looked for only where its key is. Passages of fewer than five words have no
     such key: an automaton looks for all of them at once.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     words = lambda c: F.split(c, r"\s+")
     rules = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
+    if rules.limit(AUTOMATON + 1).count() <= AUTOMATON:
+        return invariants.contained_rules(docs, rules, "item_id", "passage", AUTOMATON).withColumnRenamed("needle", "item_id")
     keys = rules.filter(F.size(words("passage")) >= 5).select("item_id", F.concat_ws(" ", F.slice(words("passage"), 2, 3)).alias("key"))
     w = docs.select("doc_id", words("text").alias("w"))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 2)), lambda i: F.concat_ws(" ", F.slice("w", i, 3)))
