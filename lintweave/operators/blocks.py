@@ -96,6 +96,12 @@ class Corpus(gates.Corpus):
     def sections(self) -> DataFrame:
         return markdown.sections(self.lines, underlined(self.blocks))
 
+    def bodies(self) -> DataFrame:
+        rows = markdown.with_section(self.lines.select("path", "line_no", "line", "inside", "is_fence"), self.sections).filter("NOT inside AND NOT is_fence")
+        # a section is one row: its lines in order
+        text = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+        return rows.groupBy("path", "line_start").agg(F.array_join(F.transform(text, lambda x: x["line"]), "\n").alias("text"))
+
     @cached_property
     def keywords(self) -> DataFrame:
         return markdown.keywords(self.lines, self.sections)
