@@ -11,11 +11,9 @@ from lintweave.sources.tables import table
 
 
 def _pairs(spark: SparkSession, sf_dir: str, threshold: float) -> DataFrame:
-    """With both labels."""
-    vectors = table(spark, sf_dir, "embeddings")
-    found = pairs_of(vectors, threshold, "vec_id", "embedding")
-    label = lambda x: vectors.select(F.col("vec_id").alias(x), F.col("label").alias(f"label_{x}"))
-    return found.join(label("a"), "a").join(label("b"), "b").select("a", "b", "label_a", "label_b", F.round("similarity", 4).alias("similarity"))
+    """With both labels, which come with the vectors."""
+    found = pairs_of(table(spark, sf_dir, "embeddings"), threshold, "vec_id", "embedding", keep=("label",))
+    return found.select("a", "b", "label_a", "label_b", F.round("similarity", 4).alias("similarity"))
 
 
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,3 +73,20 @@ def test_copies_sent_grow_with_rows(spark):
         both = made.pairs.select(vectors.F.explode(vectors.F.array_distinct(vectors.F.array("i", "j"))).alias("own"))
         sent.append(both.join(own, "own").agg({"count": "sum"}).first()[0] / n)
     assert sent[1] < 1.3 * sent[0]
+
+
+@pytest.mark.parametrize("n", [3000, 9000])
+def test_few_short_copies(spark, n):
+    """Where angles rule out little, a vector is sent to few blocks, as the floats that it has; labels come with it."""
+    rng = np.random.default_rng(9)
+    rows = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=16)], i % 7) for i in range(n)], "id long, vector array<float>, label int")
+    made = vectors.blocks(rows, 0.3, block_rows=64, keep=("label",))
+    own = made.rows.groupBy("own").count()
+    both = made.pairs.select(vectors.F.explode(vectors.F.array_distinct(vectors.F.array("i", "j"))).alias("own"))
+    assert both.join(own, "own").agg({"count": "sum"}).first()[0] < 12 * n
+    assert made.rows.schema["vector"].dataType.elementType.simpleString() == "float"
+    if n == 3000:
+        found = vectors.cosine_pairs(rows, 0.75, block_rows=64, keep=("label",)).collect()
+        want = all_pairs([(r.id, r.vector) for r in rows.collect()], 0.75)
+        assert {(r.a, r.b) for r in found} == set(want) and len(found) == len(want) > 0
+        assert all((r.label_a, r.label_b) == (r.a % 7, r.b % 7) for r in found)
