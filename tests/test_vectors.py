@@ -90,3 +90,11 @@ def test_few_short_copies(spark, n):
         want = all_pairs([(r.id, r.vector) for r in rows.collect()], 0.75)
         assert {(r.a, r.b) for r in found} == set(want) and len(found) == len(want) > 0
         assert all((r.label_a, r.label_b) == (r.a % 7, r.b % 7) for r in found)
+
+
+def test_sections_texts_read_once(spark):
+    """Pairs know their files: the texts take no part in what is joined and sorted."""
+    rows = [(f"s{i}", f"{i % 2}.md", "x" * (58 + i), [1.0, 0.1 * i]) for i in range(5)]
+    found = vectors.similar_sections(spark.createDataFrame(rows, "section_id string, path string, body string, vector array<float>"), 0.5)
+    assert "body" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.section_a, r.section_b, r.path_a, r.path_b) for r in found.collect()] == [("s3", "s4", "1.md", "0.md"), ("s2", "s3", "0.md", "1.md")]
