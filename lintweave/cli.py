@@ -57,6 +57,8 @@ def _show(rows: DataFrame) -> bool:
 
 def graph_edges(c: gates.Corpus) -> DataFrame:
     """(source, target, relation): contains, defines, refers_to and links_to, distinct."""
+    if type(c) is gates.Corpus and "sections" not in c.__dict__:
+        return _cut_edges(c)
     inside = c.sections.select(F.col("path").alias("source"), F.col("section_id").alias("target"), F.lit("contains").alias("relation"))
     item = F.concat(F.lit("item:"), "keyword")
     kinds = c.keywords.filter("kind IN ('defined', 'traced')")
@@ -66,6 +68,19 @@ def graph_edges(c: gates.Corpus) -> DataFrame:
     return inside.unionByName(named).unionByName(linked).distinct()
 
 
+def _cut_edges(c: gates.Corpus) -> DataFrame:
+    """As ``graph_edges`` of sections by ATX headings: files are cut where their rows are, and only links are shuffled."""
+    own = markdown.atx_edges(c.files).select("source", "target", "relation")
+    # a file's edges are distinct, and all but a link's end begin with its path: only files that share one, or whose
+    # sections may be named like another's, can have an edge in common
+    shared = F.count(F.lit(1)) > 1
+    if c.files.groupBy("path").agg(shared.alias("shared")).filter("shared OR path IS NULL OR path LIKE '%#%' OR path LIKE 'sec:%'").limit(1).count():
+        own = own.distinct()
+    at = c.keyed(markdown.atx_links(c.files)).filter("key IS NOT NULL")
+    linked = at.select(F.coalesce("section_id", "path").alias("source"), F.col("key").alias("target"), F.lit("links_to").alias("relation"))
+    return own.unionByName(linked.distinct())
+
+
 def graph_nodes(c: gates.Corpus) -> DataFrame:
     """(id, ord, type, label): files, then sections, then items."""
     files = c.files.select(F.col("path").alias("id"), F.lit("file").alias("type"), F.substring_index("path", "/", -1).alias("label"))

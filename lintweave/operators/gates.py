@@ -71,8 +71,12 @@ class Corpus:
     @cached_property
     def links(self) -> DataFrame:
         """With key: the corpus path that the target is, from the root or else from the file's folder."""
+        return self.keyed(self.found_links())
+
+    def keyed(self, found: DataFrame) -> DataFrame:
+        """Links (path, target, ...) with root_key, own_key and key."""
         folder = F.regexp_extract("path", "^(.*/)?[^/]*$", 1)
-        found = self.found_links().withColumns({"root_key": normal_path(F.col("target")), "own_key": normal_path(F.concat(folder, "target"))})
+        found = found.withColumns({"root_key": normal_path(F.col("target")), "own_key": normal_path(F.concat(folder, "target"))})
         known = self.documents.select(F.col("path").alias("known"))
         by_root = found.join(grown(known.withColumnRenamed("known", "by_root")), F.col("root_key") == F.col("by_root"), "left")
         by_own = by_root.join(grown(known.withColumnRenamed("known", "by_own")), F.col("own_key") == F.col("by_own"), "left")

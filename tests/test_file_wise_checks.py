@@ -66,3 +66,20 @@ def test_variants_of_lines(spark, tmp_path, monkeypatch):
     for found in (got, places):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(path" not in plan and ("SortAggregate" not in plan or found is places)
+
+
+def test_graph_edges(spark):
+    """Edges come from the files' rows, without windows over lines; the same as from lines, sections and keywords."""
+    from lintweave.cli import graph_edges
+
+    more = [
+        ("docs/g.md", "lead [a](a.md) ![no](b.md) [x](https://x.org/a.md) [a](#one)\n# One\n{K_1} <!-- definition: {K_1} -->\n[b](b.md#x) [bb](docs/b.md) [c](../sub/c%20d.md) [m](mailto:x)\n# One\n<!-- traceability: {K_2},\n{K_1} -->\n[b](b.md) [](b.md) [l](lost.md)\n```\n[b](a.md)\n```"),
+        ("docs/g.md#One", "# Two\n[g](g.md)"),
+    ]
+    for rows in (FILES + more[:1], FILES + more + more[:1]):
+        c = gates.Corpus(spark.createDataFrame(rows, "path string, content string"), [])
+        got = graph_edges(c)
+        assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+        other = gates.Corpus(c.files, [])
+        other.sections  # noqa: B018 - known sections take the way over lines
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, graph_edges(other).collect()))
